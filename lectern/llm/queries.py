@@ -16,6 +16,26 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.packing import packed
+
+    return packed(documents(spark, sf_dir), vocabulary(), room=1024, end=2)
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.token_files import round_trip
+
+    return round_trip(documents(spark, sf_dir), vocabulary(), end=0)
+
+
+def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from lectern.llm.simhash_dedup import near_groups
+
+    return near_groups(documents(spark, sf_dir)).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.token_count import token_counts
 
@@ -29,7 +49,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_token_counts, op10_exact_dedup)}
+    return {f.__name__: f for f in (op5_best_fit_packing, op6_token_files, op7_simhash_dedup, op8_token_counts, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
