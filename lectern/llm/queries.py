@@ -16,6 +16,12 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.mixing import mix
+
+    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.packing import packed
 
@@ -49,7 +55,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_best_fit_packing, op6_token_files, op7_simhash_dedup, op8_token_counts, op10_exact_dedup)}
+    return {f.__name__: f for f in (op4_source_mixing, op5_best_fit_packing, op6_token_files, op7_simhash_dedup, op8_token_counts, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
