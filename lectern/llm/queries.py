@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm.common import documents
+from lectern.llm.common import documents, fold
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -16,6 +16,21 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from lectern.llm.toxicity import tagged, trained
+
+    docs, held_out = documents(spark, sf_dir), fold("doc_id", 3) == 1
+    model = trained(docs, labels(spark, sf_dir), ~held_out)
+    scored = tagged(docs, model)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.to_json("spans").alias("spans"))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.mixing import mix
 
@@ -55,7 +70,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_source_mixing, op5_best_fit_packing, op6_token_files, op7_simhash_dedup, op8_token_counts, op10_exact_dedup)}
+    return {f.__name__: f for f in (op2_toxicity, op4_source_mixing, op5_best_fit_packing, op6_token_files, op7_simhash_dedup, op8_token_counts, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
