@@ -31,6 +31,16 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.to_json("spans").alias("spans"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from lectern.llm.quality import scored, trained
+
+    docs, held_out = documents(spark, sf_dir), fold("doc_id", 5) == 0
+    model = trained(docs, labels(spark, sf_dir), ~held_out)
+    return scored(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.mixing import mix
 
@@ -70,7 +80,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op4_source_mixing, op5_best_fit_packing, op6_token_files, op7_simhash_dedup, op8_token_counts, op10_exact_dedup)}
+    return {f.__name__: f for f in (op2_toxicity, op3_quality, op4_source_mixing, op5_best_fit_packing, op6_token_files, op7_simhash_dedup, op8_token_counts, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
