@@ -40,6 +40,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()  # so that Spark deletes the shuffle files that this no longer needs
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

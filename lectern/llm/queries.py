@@ -20,6 +20,13 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def op1_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lectern.llm.image_copies import image_copies, thumbnails
+
+    copies = image_copies(thumbnails(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    return copies.withColumnRenamed("id", "page_id")
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -73,6 +80,15 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), vocabulary(), limit=1024)
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from lectern.llm.line_dedup import line_dedup
+
+    left = line_dedup(documents(spark, sf_dir))
+    return left.select("doc_id", "lines", "kept", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lectern.llm.exact_dedup import exact_dedup
 
@@ -80,7 +96,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_toxicity, op3_quality, op4_source_mixing, op5_best_fit_packing, op6_token_files, op7_simhash_dedup, op8_token_counts, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_image_copies, op2_toxicity, op3_quality, op4_source_mixing, op5_best_fit_packing, op6_token_files, op7_simhash_dedup, op8_token_counts, op9_line_dedup, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
