@@ -171,7 +171,7 @@ def brute_lines(rows):
     norm = lambda x: re.sub(r"[\W_]+", " ", x.lower()).strip()
 
     def simhash(x):
-        h = [xxh64_intdigest(w.encode(), 42) for w in x.split(" ")]
+        h = [xxh64_intdigest(w.encode(), 42) for w in set(x.split(" "))]
         return sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in h) > len(h))
 
     def edits(a, b):
