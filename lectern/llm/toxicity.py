@@ -252,4 +252,6 @@ def clean(docs: DataFrame, model: Model, limit: float = 0.7) -> DataFrame:
             keep = [score < limit for first in range(0, len(text), 1000) for score, _ in tag(text[first : first + 1000], memory)]
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    # By place, as names may clash.
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
