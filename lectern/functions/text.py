@@ -121,8 +121,9 @@ def breadcrumb(path: Column | str) -> Column:
 
 def sentences(c: Column | str) -> Column:
     """Sentences of each paragraph, without empty ones."""
-    paragraphs = F.filter(F.transform(F.split(_col(c), r"\n\n"), F.trim), lambda p: p != "")
-    return F.filter(F.flatten(F.transform(paragraphs, lambda p: F.transform(F.split(p, r"(?<=[.!?:;])\s+"), F.trim))), lambda s: s != "")
+    strip = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    paragraphs = F.filter(F.transform(F.split(_col(c), r"\n\n"), strip), lambda p: p != "")
+    return F.filter(F.flatten(F.transform(paragraphs, lambda p: F.transform(F.split(p, r"(?<=[.!?:;])\s+"), strip))), lambda s: s != "")
 
 
 def token_estimate(c: Column | str) -> Column:
