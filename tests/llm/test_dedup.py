@@ -171,7 +171,9 @@ def brute_lines(rows):
     norm = lambda x: re.sub(r"[\W_]+", " ", x.lower()).strip()
 
     def simhash(x):
-        h = [xxh64_intdigest(w.encode(), 42) for w in set(x.split(" "))]
+        words = x.split(" ")
+        one = [xxh64_intdigest(w.encode(), 42) for w in words]
+        h = {o if len(w) >= 5 or n is None else xxh64_intdigest(n.encode(), o) for o, w, n in zip(one, words, [*words[1:], None], strict=True)}
         return sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in h) > len(h))
 
     def edits(a, b):
