@@ -7,6 +7,7 @@ for the event log.
 
 from __future__ import annotations
 
+import functools
 import tempfile
 from collections.abc import Callable
 
@@ -18,6 +19,7 @@ from lectern.functions import text as T
 from lectern.functions import urls as U
 from lectern.functions import vectors as V
 from lectern.operators import chunking, embedding, events, jobs, quota, scope, search, sync, tree
+from lectern.plans.shipping import ship
 from lectern.sources import connectors, formats
 from lectern.streaming import usage as streaming
 
@@ -28,7 +30,12 @@ Q = Callable[[SparkSession, str], DataFrame]
 
 def query(sql: str | None = None) -> Callable[[Q], Q]:
     def add(f: Q) -> Q:
-        QUERIES[f.__name__] = f
+        @functools.wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = run
         if sql:
             ORACLE[f.__name__] = sql
         return f
