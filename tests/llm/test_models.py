@@ -215,6 +215,27 @@ def test_crops_and_edits_are_found(spark):
     assert image_copies.image_copies(df.limit(0)).count() == 0
 
 
+def test_images_with_few_corners_are_found(spark):
+    flat = np.full((60, 70), 90, np.uint8)
+    one, dot = np.full((44, 44), 250, np.uint8), np.full((44, 44), 250, np.uint8)
+    one[20:, 22:] = dot[10:12, 30:33] = 5
+    edited = one.copy()
+    edited[0:3, 0:3] = 240
+    short = images.thumbnail("<p>one short page</p>")
+    pgm = b"P5 70 60 255\n" + flat.tobytes()
+    media = [(1, images.png(flat)), (2, pgm), (3, images.png(flat[:50])), (4, images.png(one)), (5, images.png(one)), (6, images.png(edited)), (7, images.png(dot)), (8, short), (9, short), (10, None), (11, b"no image"), (12, b"")]
+    assert 0 < len(image_copies.describe(images.png(one))) < image_copies.LEAST_VOTES
+    got = {r.id: r.class_id for r in image_copies.image_copies(spark.createDataFrame(media, "id long, image binary")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 4, 7: 7, 8: 8, 9: 8, 10: 10, 11: 11, 12: 12}
+
+
+def test_pages_have_corners(tiny, spark):
+    """Of pictures of pages few have too few corners for links by votes."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
+    n = [len(image_copies.describe(images.thumbnail(r.html))) for r in pages]
+    assert sum(x < image_copies.LEAST_VOTES for x in n) < 0.2 * len(n)
+
+
 def test_matches_are_those_of_all_pairs(spark):
     rng = np.random.default_rng(4)
     base = [(int(rng.integers(-2**62, 2**62)), int(rng.integers(-2**62, 2**62))) for _ in range(40)]
