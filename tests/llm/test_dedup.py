@@ -106,6 +106,32 @@ def test_near_copies_stay_once(spark, tiny):
     assert 0 in got and len(got) <= 6
 
 
+def test_pipeline_drops_what_is_similar(spark, tiny, edge, empty, union_find):
+    """Groups against the Jaccard similarities of all pairs, for copies with 0.5 to 6 % of words changed."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    base = [r.text.split() for r in tiny.where("n_chars BETWEEN 800 AND 4000").orderBy("doc_id").limit(25).collect()]
+    texts = [" ".join(w) for w in base]
+    for w in base:
+        for share in (0.005, 0.01, 0.02, 0.03, 0.06):
+            copy = list(w)
+            for k in rng.sample(range(len(w)), max(1, round(share * len(w)))):
+                copy[k] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.lower().split() for t in texts)]
+    edges = [(i, j) for j in range(len(texts)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(edges) > 80
+    fps = [brute_fingerprint(t, 5) for t in texts]
+    edges += [(i, j) for j in range(len(texts)) for i in range(j) if bin(fps[i] ^ fps[j]).count("1") <= 3]
+    want = {i for i, c in union_find(edges, range(len(texts))).items() if i == c}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect()} == want
+    assert corpus_pipeline.near_copies(spark, empty, "").count() == 0
+    plain, similar = (sorted(r.fp for r in simhash_dedup.near_groups(edge, 3, s).collect()) for s in (None, 0.8))
+    assert plain == similar
+
+
 def test_golay_decodes_to_the_nearest_codeword():
     words = np.arange(4096) << 11
     assert len(set(golay.decode(words).tolist())) <= 4096
