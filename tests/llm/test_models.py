@@ -229,6 +229,20 @@ def test_images_with_few_corners_are_found(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 4, 7: 7, 8: 8, 9: 8, 10: 10, 11: 11, 12: 12}
 
 
+def test_copies_whose_descriptors_are_of_many_images_link(spark):
+    """12 images hold 3 descriptors each, images 20 and 21 all 36, 22 half of them: votes count for each pair."""
+    rng = np.random.default_rng(6)
+    bits = rng.integers(-2**62, 2**62, (36, 2)).tolist()
+    place = rng.integers(20, 900, (36, 2)).tolist()
+    spot = lambda i, k, dx=0: (i, *bits[k], place[k][0] + dx, place[k][1], 0, 0)
+    held = {**{i: range(3 * i, 3 * i + 3) for i in range(12)}, 20: range(36), 21: range(36), 22: range(0, 36, 2)}
+    spots = spark.createDataFrame([spot(i, k, 40 * (i == 22)) for i, ks in held.items() for k in ks], "id long, lo long, hi long, x int, y int, scale int, turn int")
+    of = spark.createDataFrame([(i, (len(ks), len(ks), 99, 900 + i)) for i, ks in held.items()], "id long, of struct<n:int,places:int,height:int,width:int>")
+    assert {r.a for r in image_copies._agreed(image_copies._matches(spots), of).collect()} == set()
+    got = {(r.a, r.b) for r in image_copies.copies(spots, of).collect()}
+    assert got == {(21, 20), (22, 20), (22, 21)}
+
+
 def test_pages_have_corners(tiny, spark):
     """Of pictures of pages few have too few corners for links by votes."""
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
