@@ -85,7 +85,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from lectern.llm.line_dedup import line_dedup
 
-    left = line_dedup(documents(spark, sf_dir))
+    left = line_dedup(documents(spark, sf_dir), wide=True)
     return left.select("doc_id", "lines", "kept", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 

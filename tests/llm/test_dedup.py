@@ -267,3 +267,22 @@ def test_lines_at_the_edge(edge, empty):
     assert sorted(x[2] for x in by[1] + by[2]) == [0, 1] and by[3] == [("", 0, 0)] and by[4] == [(None, 0, 0)]
     assert [x[1:] for x in by[7]] == [(3, 0), (3, 2)] and by[7][1][0] == "Erste Zeile.\nZweite Zeile." and by[6] == [(" \n \t\n", 0, 0)]
     assert line_dedup.line_dedup(empty).count() == 0
+
+
+def test_edited_lines_link(spark, tiny, edge, empty):
+    """Recall by edit similarity alone: with a letter added to a word, lines of 8 words or more do not stay beside each other."""
+    rng = random.Random(9)
+    norm = lambda x: re.sub(r"[\W_]+", " ", x.lower()).strip()
+    pool = sorted({norm(x) for r in tiny.collect() for x in (r.text or "").split("\n") if 8 <= len(norm(x).split(" ")) < 60})
+    lines = rng.sample(pool, 60)
+    edited = []
+    for x in lines:
+        words = x.split(" ")
+        words[rng.randrange(len(words))] += "q"
+        edited.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(lines + edited)), "doc_id long, text string").coalesce(1)
+    left = {n: {r.doc_id for r in line_dedup.line_dedup(docs, wide=w).where("kept > 0").collect()} for n, w in (("wide", True), ("narrow", False))}
+    assert not {i for i in left["wide"] if i >= 60} and len({i for i in left["narrow"] if i >= 60}) > 30
+    # Unlike lines stay.
+    assert len(left["wide"]) > 50
+    assert line_dedup.line_dedup(edge, wide=True).count() == 11 and line_dedup.line_dedup(empty, wide=True).count() == 0
