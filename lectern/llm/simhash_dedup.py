@@ -242,10 +242,11 @@ def links(arrived):
         else:
             held, size = [], 0
         a, b = [], []
-        small = np.repeat(sizes <= 16, sizes)
+        few = (sizes <= 16) & (key[starts] != over if over is not None else True)  # the rest of a crowded key is not few
+        small = np.repeat(few, sizes)
         x, y = _small(key[: len(small)][small], fp[: len(small)][small])
         a.append(x), b.append(y)
-        for s, n in zip(starts[sizes > 16], sizes[sizes > 16], strict=True):
+        for s, n in zip(starts[~few], sizes[~few], strict=True):
             if n > CAP or key[s] == over:
                 over = key[s]
                 a.append(fp[s : s + n]), b.append(fp[s : s + n])

@@ -192,6 +192,15 @@ def test_crowded_keys_go_another_exact_way(spark, union_find, monkeypatch):
     assert union_find(more | {e for e in edges if e[0] != e[1]}, fps.tolist()) == want
 
 
+def test_the_rest_of_a_crowded_key_stays_crowded(monkeypatch):
+    monkeypatch.setattr(simhash_dedup, "CAP", 40)
+    monkeypatch.setattr(simhash_dedup, "WINDOW", 60)
+    fps = np.arange(65, dtype=np.int64)
+    batches = [pa.record_batch([pa.array(np.full(len(x), 7, np.int32)), pa.array(x)], ["key", "fp"]) for x in (fps[:60], fps[60:])]
+    edges = {(a, b) for e in simhash_dedup.links(batches) for a, b in zip(e["a"].to_pylist(), e["b"].to_pylist(), strict=True)}
+    assert edges >= {(x, x) for x in range(65)}
+
+
 def brute_lines(rows):
     """The lines that stay of each text, by comparing all pairs."""
     norm = lambda x: re.sub(r"[\W_]+", " ", x.lower()).strip()
