@@ -80,6 +80,14 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.toDF(*(f"c{i}" for i in range(len(df.columns)))).select(*(F.col(f"c{i}").alias(n) for i, n in zip(at, names, strict=True)))
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with underscores until none of ``taken`` is the same but for case."""
+    used = {t.lower() for t in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

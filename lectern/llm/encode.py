@@ -4,7 +4,7 @@
 The library reads 1.3 million characters of a text a second. For a byte-level BPE file that changes
 nothing before it splits, a text whose white space is single spaces and line feeds can be cut before
 each of them: no pre-token reaches over such a place. Each distinct piece goes to the library once,
-a worker remembers its ids, and they are gathered for every occurrence. Other texts go to the library
+a worker remembers the ids of those it met of late, and they are gathered for every occurrence. Other texts go to the library
 as they are. The ids are the same; tests compare them on both real and hostile texts.
 """
 
@@ -13,20 +13,25 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are encoded at once: bounds what a task holds besides the Arrow batch it got.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
 
 #: A text can be cut at these places: no pre-token of a byte-level file reaches over them.
 _SAFE = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)")
-#: Distinct pieces that a worker remembers; those that come later are encoded once for each run of texts.
-REMEMBERED = 500_000
+#: Distinct pieces in a worker's memory: two generations of so many, of at most LONGEST characters each, some 40 MB.
+REMEMBERED = 120_000
 #: Longer pieces are not remembered.
 LONGEST = 64
+#: Unknown pieces that go to the library at once.
+FRESH = 20_000
+#: Of these so many in one text.
+JOINED = 100
 #: Texts with a match go to the library whole (or cut where ``_SAFE`` allows): other white space, two in a row, or the character that marks a text's start here.
 _ODD = r"[ \n][ \n]|[\x00-\x09\x0b-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]"
 
@@ -37,19 +42,36 @@ def _plain(d: dict) -> bool:
     return not d.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and model.get("type") == "BPE" and not model.get("dropout") and not model.get("ignore_merges") and all(x["special"] and not (x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"] or re.search(r"\s", x["content"])) for x in d["added_tokens"])
 
 
-class Pieces(dict):
-    """From a piece to its number; new ones are put down in ``fresh``."""
+class Memory:
+    """From a piece to its ids as bytes, for pieces seen of late: a generation that is full is kept until the next one is."""
 
     def __init__(self):
-        super().__init__()
-        self.fresh: list[str] = []
-        self.n = 0
-
-    def __missing__(self, piece: str) -> int:
-        i = self[piece] = self.n
-        self.n += 1
-        self.fresh.append(piece)
-        return i
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def ids(self, pieces: list[str], counts: np.ndarray, encode) -> list[bytes]:
+        """The ids of each of the distinct ``pieces``, which occur ``counts`` times now; ``encode`` gives those of unknown ones."""
+        got = list(map(self.new.get, pieces))
+        lost = [i for i, x in enumerate(got) if x is None]
+        if self.old:
+            for i in lost:
+                got[i] = self.old.get(pieces[i])
+            fresh = [i for i in lost if got[i] is None]
+        else:
+            fresh = lost
+        for first in range(0, len(fresh), FRESH):  # encodings are large and go before the next ones come
+            part = fresh[first : first + FRESH]
+            for i, x in zip(part, encode([pieces[i] for i in part]), strict=True):
+                got[i] = x
+        # What came once is rare; what an older generation knew is not.
+        again = counts > 1
+        again[lost] |= True if len(fresh) == 0 else np.isin(lost, fresh, assume_unique=True, invert=True)
+        for i in np.array(lost, np.int64)[again[lost]].tolist():
+            if len(pieces[i]) <= LONGEST:
+                self.new[pieces[i]] = got[i]
+        if len(self.new) >= REMEMBERED:
+            self.old, self.new = self.new, {}
+        return got
 
 
 def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -69,7 +91,10 @@ class JsonEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.cuts = _plain(json.loads(self.tokenizer.to_str()))
-        self.known, self.starts, self.ids = Pieces(), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self.memory = Memory()
+        between = self.library(["a\n b"])[0][1:-1] if self.cuts else []
+        #: The token of a line feed between two words, if it is one token.
+        self.feed = between[0] if len(between) == 1 else None
 
     def library(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -82,46 +107,63 @@ class JsonEncoder:
             start = m.start()
         return [*out, text[start:]]
 
+    def _of(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces: each stands for itself and the space before it; one that starts with \\x01 or a line feed has none.
+
+        Many go to the library in one text, with a line feed before the space of each, which is a token of its own.
+        """
+        out: list = [None] * len(pieces)
+        alone = [i for i, w in enumerate(pieces) if self.feed is None or w[:1] in ("", "\x01", "\n")]
+        got = self.library([w[1:] if w[:1] == "\x01" else w if w[:1] == "\n" else " " + w for w in (pieces[i] for i in alone)])
+        for i, ids in zip(alone, got, strict=True):
+            out[i] = array("I", ids).tobytes()
+        rest = [i for i, x in enumerate(out) if x is None]
+        groups = [rest[k : k + JOINED] for k in range(0, len(rest), JOINED)]
+        for group, ids in zip(groups, self.library([" " + "\n ".join([pieces[i] for i in group]) for group in groups]), strict=True):
+            flat = array("I", ids).tobytes()
+            cut = (4 * np.flatnonzero(np.frombuffer(flat, np.uint32) == self.feed)).tolist()
+            for i, start, stop in zip(group, [0, *(k + 4 for k in cut)], [*cut, len(flat)], strict=True):
+                out[i] = flat[start:stop]
+        return out
+
+    def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For texts that can be cut at each space: (pieces of each text, number of each piece, ids of each number, all their ids)."""
+        cut = pc.split_pattern(pc.binary_join_element_wise("\x01", pc.replace_substring(texts, "\n", " \n"), ""), " ")
+        coded = cut.flatten().dictionary_encode()
+        number = coded.indices.to_numpy(zero_copy_only=False)
+        ids = self.memory.ids(coded.dictionary.to_pylist(), np.bincount(number, minlength=len(coded.dictionary)), self._of)
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        return pc.list_value_length(cut).to_numpy(zero_copy_only=False).astype(np.int64), number, lengths, np.frombuffer(b"".join(ids), np.uint32)
+
+    def _split(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the texts that have to go to the library as they are, and of the others."""
+        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False) if self.cuts else np.ones(len(texts), bool)
+        return np.flatnonzero(odd), np.flatnonzero(~odd)
+
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
-        odd = pc.match_substring_regex(texts, _ODD).to_pylist() if self.cuts else [True] * len(texts)
         out: list = [None] * len(texts)
-        pieces, counts, at = [], [], []
-        for i, (x, o) in enumerate(zip(texts.to_pylist(), odd, strict=True)):
-            if o:
-                out[i] = np.array([t for ids in self.library(self.cut(x)) for t in ids], np.uint32)
-            else:
-                # A piece stands for itself and the space before it; one that starts with \x01 or a line feed has none.
-                own = ("\x01" + x.replace("\n", " \n")).split(" ")
-                pieces += own
-                counts.append(len(own)), at.append(i)
-        if at:
-            n, ids = self._of(pieces)
+        odd, plain = self._split(texts)
+        for i in odd.tolist():
+            out[i] = np.array([t for part in self.cut(texts[i].as_py()) for ids in self.library([part]) for t in ids], np.uint32)
+        if len(plain):
+            counts, number, lengths, ids = self._plain(texts.take(pa.array(plain)))
+            n = lengths[number]
+            flat = ids[_ranges((np.cumsum(lengths) - lengths)[number], n)]
             ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum(counts)]
-            for i, part in zip(at, np.split(ids, ends[:-1]), strict=True):
+            for i, part in zip(plain.tolist(), np.split(flat, ends[:-1]), strict=True):
                 out[i] = part
         return out
 
-    def _of(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(number of ids of each piece, all ids)."""
-        known, old = self.known, self.known.n
-        number = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
-        fresh, known.fresh = known.fresh, []
-        starts, ids = self.starts, self.ids
-        if fresh:
-            got = self.library([w[1:] if w[:1] == "\x01" else w if w[:1] == "\n" else " " + w for w in fresh])
-            lengths = np.fromiter(map(len, got), np.int64, len(got))
-            ids = np.concatenate([ids, np.fromiter((t for x in got for t in x), np.uint32, int(lengths.sum()))])
-            starts = np.concatenate([starts, starts[-1] + np.cumsum(lengths)])
-            keep = old < REMEMBERED
-            if keep:
-                self.starts, self.ids = starts, ids
-            else:
-                known.n = old
-            for w in fresh:
-                if not keep or len(w) > LONGEST:
-                    del known[w]
-        n = starts[number + 1] - starts[number]
-        return n, ids[_ranges(starts[number], n)]
+    def count(self, texts: pa.Array) -> np.ndarray:
+        """The number of ids of each text, which are not put together for this."""
+        out = np.zeros(len(texts), np.int64)
+        odd, plain = self._split(texts)
+        for i in odd.tolist():
+            out[i] = sum(len(ids) for part in self.cut(texts[i].as_py()) for ids in self.library([part]))
+        if len(plain):
+            counts, number, lengths, _ = self._plain(texts.take(pa.array(plain)))
+            out[plain] = np.add.reduceat(lengths[number], np.cumsum(counts) - counts)
+        return out
 
 
 class ModelEncoder:
@@ -135,6 +177,9 @@ class ModelEncoder:
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         return [np.array(x, np.uint32) for x in self.model.encode(texts.to_pylist(), num_threads=1)]
 
+    def count(self, texts: pa.Array) -> np.ndarray:
+        return np.array([len(x) for x in self.model.encode(texts.to_pylist(), num_threads=1)], np.int64)
+
 
 _encoders: dict[str, JsonEncoder | ModelEncoder] = {}
 
@@ -164,6 +209,12 @@ def encode(texts: pa.Array, path: str):
         yield first, encoder(path)(texts.slice(first, n))
 
 
+def count(texts: pa.Array, path: str) -> np.ndarray:
+    """The number of ids of each text; null counts as empty."""
+    texts = pc.fill_null(texts, "")
+    return np.concatenate([np.zeros(0, np.int64), *(encoder(path).count(texts.slice(first, n)) for first, n in runs(texts))])
+
+
 def crc(ids: np.ndarray) -> int:
     import zlib
 

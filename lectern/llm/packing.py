@@ -32,10 +32,10 @@ def pack(lengths: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
     for i, s in enumerate(lengths.tolist()):
         gap = room
         if s < room and len(fits := count[s:room]):
-            # A sequence that goes from gap g to g - s changes the sum by 2 * (count[g - s] - count[g] + 1); one that fills up leaves it.
-            change = np.where(fits > 0, count[: room - s] - fits + 1, never)
+            # A sequence that goes from gap g to g - s changes the sum by 2 * (count[g - s] - count[g] + 1); one that fills up only leaves it.
+            change = np.where(fits > 0, 2 * (count[: room - s] - fits + 1), never)
             if fits[0]:
-                change[0] = -fits[0]
+                change[0] = 1 - 2 * fits[0]
             best = int(change.argmin())
             gap = s + best if fits[best] else room
         if gap == room:

@@ -22,8 +22,8 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFram
     def count(arrived):
         for b in arrived:
             text = pc.fill_null(b.column("text"), "")
-            n = [len(i) for _, ids in encode.encode(text, tokenizer) for i in ids]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pc.binary_length(text).cast(pa.int64()), pa.array(n, pa.int64()), pa.array([k > limit for k in n], pa.bool_())], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+            n = encode.count(text, tokenizer)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pc.binary_length(text).cast(pa.int64()), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return pick(docs, "doc_id", "text").mapInArrow(count, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
