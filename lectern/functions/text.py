@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import html.entities
+import json
 import unicodedata
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,61 +24,73 @@ def _fold_table() -> tuple[str, str]:
 FOLD_FROM, FOLD_TO = _fold_table()
 
 
-def _col(c: Column | str) -> Column:
+def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
 def fold(c: Column | str) -> Column:
     """Lower case without accents; letters that have no plain form, such as sharp s, stay."""
-    return F.translate(F.lower(_col(c)), FOLD_FROM, FOLD_TO)
+    return F.translate(F.lower(col(c)), FOLD_FROM, FOLD_TO)
 
 
 def index_tokens(c: Column | str) -> Column:
     """Folded runs of letters and numbers."""
-    return F.filter(F.split(fold(F.coalesce(_col(c), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.filter(F.split(fold(F.coalesce(col(c), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
 def normalise_text(c: Column | str) -> Column:
     """Line feeds only, single blanks, stripped lines, at most one blank line in a row, stripped."""
-    c = F.regexp_replace(_col(c), r"\r\n?", "\n")
+    c = F.regexp_replace(col(c), r"\r\n?", "\n")
     c = F.regexp_replace(c, r"[ \t\r\f\x0B]+", " ")
     c = F.regexp_replace(F.regexp_replace(c, r"(?m)^[\p{Z}\s&&[^\n]]+|[\p{Z}\s&&[^\n]]+$", ""), r"\n{3,}", "\n\n")
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
-#: The named entities that are resolved in columns, besides numeric ones of ASCII.
-ENTITIES = (("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&hellip;", "…"), ("&ndash;", "–"), ("&mdash;", "—"), ("&auml;", "ä"), ("&ouml;", "ö"), ("&uuml;", "ü"), ("&Auml;", "Ä"), ("&Ouml;", "Ö"), ("&Uuml;", "Ü"), ("&szlig;", "ß"), ("&eacute;", "é"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
+@cache
+def _entities() -> dict[str, str]:
+    """All named entities of HTML with their semicolon, by Python's table."""
+    return {name[:-1]: char for name, char in html.entities.html5.items() if name.endswith(";")}
 
 
 def unescape(c: Column | str) -> Column:
-    """The common entities of HTML as characters; ``&amp;`` last, so nothing is resolved twice."""
-    c = _col(c)
-    for entity, char in ENTITIES:
-        c = F.replace(c, F.lit(entity), F.lit(char))
-    return c
+    """Entities of HTML, named and numeric ones, as characters, in one pass; others stay.
+
+    Text is cut at ampersands, and the name that a part begins with looked up in a map.
+    """
+    names = F.lit(json.dumps(_entities()))
+    table = F.from_json(names, "map<string, string>")
+    parts = F.split(col(c), "&")
+
+    def resolved(p: Column) -> Column:
+        name = F.regexp_extract(p, "^(#?[0-9A-Za-z]{1,32});", 1)
+        code = F.when(name.rlike("^#[0-9]{1,7}$"), F.substring(name, 2, 8).try_cast("int")).when(name.rlike("^#[xX][0-9A-Fa-f]{1,6}$"), F.conv(F.substring(name, 3, 8), 16, 10).try_cast("int"))
+        char = F.when(code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise(F.try_element_at(table, name))
+        return F.coalesce(F.when(name != "", F.concat(char, F.substring(p, F.length(name) + 2, F.length(p)))), F.concat(F.lit("&"), p))
+
+    return F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), resolved), ""))
 
 
 def html_to_text(c: Column | str) -> Column:
     """Markup of simple fragments as text: no scripts, a line per block."""
-    c = F.regexp_replace(F.coalesce(_col(c), F.lit("")), r"(?is)<(script|style)[^>]*>.*?</\1>", " ")
+    c = F.regexp_replace(F.coalesce(col(c), F.lit("")), r"(?is)<(script|style)[^>]*>.*?</\1>", " ")
     c = F.regexp_replace(c, r"(?i)</(p|div|li|h[1-6]|tr|table|blockquote)>|<br\s*/?>", "\n")
     return normalise_text(unescape(F.regexp_replace(c, r"<[^>]+>", " ")))
 
 
 def strip_html(c: Column | str) -> Column:
     """Tags as blanks, in one line."""
-    return one_line(unescape(F.regexp_replace(F.coalesce(_col(c), F.lit("")), r"<[^>]+>", " ")))
+    return one_line(unescape(F.regexp_replace(F.coalesce(col(c), F.lit("")), r"<[^>]+>", " ")))
 
 
 def text_to_html(c: Column | str) -> Column:
     """Text as paragraphs of markup."""
-    c = F.replace(F.replace(F.replace(_col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    c = F.replace(F.replace(F.replace(col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     parts = F.filter(F.split(c, r"\n{2,}"), lambda p: F.trim(p) != "")
     return F.array_join(F.transform(parts, lambda p: F.concat(F.lit("<p>"), F.replace(F.trim(p), F.lit("\n"), F.lit("<br>")), F.lit("</p>"))), "\n")
 
 
 def one_line(c: Column | str) -> Column:
-    return F.trim(F.regexp_replace(F.coalesce(_col(c), F.lit("")), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(col(c), F.lit("")), r"(?U)\s+", " "))
 
 
 def clean_title(c: Column | str, fallback: str = "") -> Column:
@@ -86,7 +101,7 @@ def clean_title(c: Column | str, fallback: str = "") -> Column:
 
 def chat_title(c: Column | str, most: int = 60) -> Column:
     """The first line that is not empty, without marks of a heading, a label, quotes and a final stop; null if nothing is left."""
-    first = F.get(F.filter(F.transform(F.split(_col(c), r"\r\n|[\n\r]"), F.trim), lambda x: x != ""), F.lit(0))
+    first = F.get(F.filter(F.transform(F.split(col(c), r"\r\n|[\n\r]"), F.trim), lambda x: x != ""), F.lit(0))
     c = F.trim(F.regexp_replace(first, r"^#+", ""))
     c = F.trim(F.regexp_replace(c, r"(?iU)^(titel|title|überschrift)\s*:\s*", ""))
     c = F.trim(F.regexp_replace(c, r"^[*_]+|[*_]+$", ""))
@@ -103,12 +118,12 @@ def snippet(c: Column | str, most: int = 500) -> Column:
 
 
 def clip(c: Column | str, most: int = 4000) -> Column:
-    return F.substring(_col(c), 1, most)
+    return F.substring(col(c), 1, most)
 
 
 def path_name(c: Column | str, fallback: Column) -> Column:
     """A name fit for a path: no slash, single blanks, the fallback for none."""
-    return F.coalesce(F.nullif(one_line(F.replace(F.coalesce(_col(c), F.lit("")), F.lit("/"), F.lit("-"))), F.lit("")), fallback)
+    return F.coalesce(F.nullif(one_line(F.replace(F.coalesce(col(c), F.lit("")), F.lit("/"), F.lit("-"))), F.lit("")), fallback)
 
 
 def raw_name(c: Column | str, fallback: Column) -> Column:
@@ -116,29 +131,29 @@ def raw_name(c: Column | str, fallback: Column) -> Column:
 
 
 def breadcrumb(path: Column | str) -> Column:
-    return F.array_join(F.filter(_col(path), lambda p: p.isNotNull() & (p != "")), HEADER_SEPARATOR)
+    return F.array_join(F.filter(col(path), lambda p: p.isNotNull() & (p != "")), HEADER_SEPARATOR)
 
 
 def sentences(c: Column | str) -> Column:
     """Sentences of each paragraph, without empty ones."""
     strip = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
-    paragraphs = F.filter(F.transform(F.split(_col(c), r"\n\n"), strip), lambda p: p != "")
+    paragraphs = F.filter(F.transform(F.split(col(c), r"\n\n"), strip), lambda p: p != "")
     return F.filter(F.flatten(F.transform(paragraphs, lambda p: F.transform(F.split(p, r"(?<=[.!?:;])\s+"), strip))), lambda s: s != "")
 
 
 def token_estimate(c: Column | str) -> Column:
-    return F.greatest(F.lit(1), F.floor(F.length(_col(c)) / 4)).cast("long")
+    return F.greatest(F.lit(1), F.floor(F.length(col(c)) / 4)).cast("long")
 
 
 def doc_id_parts(c: Column | str) -> Column:
     """struct(course, cmid, part) of "course:cmid:part"; the part may hold colons."""
-    p = F.split(_col(c), ":", 3)
+    p = F.split(col(c), ":", 3)
     return F.struct(F.get(p, F.lit(0)).cast("int").alias("course"), F.get(p, F.lit(1)).cast("int").alias("cmid"), F.get(p, F.lit(2)).alias("part"))
 
 
 def thread_parts(c: Column | str) -> Column:
     """struct(owner, conversation, turn) of a thread id, split at its last two colons."""
-    return F.struct(*(F.regexp_extract(_col(c), r"^(.*):([^:]*):([^:]*)$", i + 1).alias(n) for i, n in enumerate(("owner", "conversation", "turn"))))
+    return F.struct(*(F.regexp_extract(col(c), r"^(.*):([^:]*):([^:]*)$", i + 1).alias(n) for i, n in enumerate(("owner", "conversation", "turn"))))
 
 
 def size_label(pages: Column, chars: Column, skip: Column, version: Column) -> Column:

@@ -39,6 +39,10 @@ def split_by_cache(texts: DataFrame, cache: DataFrame, key: str) -> tuple[DataFr
     return rows.join(own, "lookup"), rows.join(own, "lookup", "left_anti").dropDuplicates(["lookup"])
 
 
+class EmbeddingFailed(Exception):
+    """What an embedder raises for texts that its provider does not take."""
+
+
 def embed(texts: DataFrame, embedder: Callable[[list[str]], np.ndarray], key: str, skip_failures: bool = True) -> DataFrame:
     """lookup, key and unit vector (null for failed batches) of distinct texts, in batches of ``BATCH``."""
 
@@ -50,7 +54,7 @@ def embed(texts: DataFrame, embedder: Callable[[list[str]], np.ndarray], key: st
                     v = np.asarray(embedder(part["text"].tolist()), float)
                     n = np.linalg.norm(v, axis=1, keepdims=True)
                     vectors = (v / np.where(n == 0, 1, n)).astype(np.float32).tolist()
-                except Exception:
+                except EmbeddingFailed:
                     if not skip_failures:
                         raise
                     vectors = [None] * len(part)

@@ -72,6 +72,12 @@ def counts(jobs: DataFrame, now: int) -> DataFrame:
     return got.select("stage", "state", "n", F.when(F.col("state") == "queued", F.lit(now) - F.col("oldest")).alias("age"))
 
 
+def ingest_status(docs: DataFrame) -> DataFrame:
+    """One row: live documents, those not extracted yet (pending), those without text (skipped), and courses."""
+    rows = docs.where("tombstoned_at IS NULL") if "tombstoned_at" in docs.columns else docs
+    return rows.agg(F.count("*").alias("documents"), F.count_if(F.col("extract_version").isNull()).alias("pending"), F.count_if(F.col("skip_reason").isNotNull()).alias("skipped"), F.count_distinct("course_id").alias("courses"))
+
+
 def failed_live(jobs: DataFrame, docs: DataFrame) -> DataFrame:
     """Failed jobs whose document is live."""
     return jobs.where("state = 'failed'").join(docs.where("tombstoned_at IS NULL"), ["site_id", "doc_id"], "left_semi")

@@ -42,6 +42,17 @@ def report_all(usage: DataFrame) -> DataFrame:
     return usage.rollup("user_id").agg(F.sum(tokens()).alias("tokens"), F.count("*").alias("calls"))
 
 
+def status(usage: DataFrame, now: int, zone: str, day_limit: Column, month_limit: Column, purposes: tuple[str, ...] = CHAT, by: tuple[str, ...] = ("site_id", "user_id"), count_reasoning: bool = True) -> DataFrame:
+    """Per user what is used of day and month, the limits, and when each starts anew: one scan, bounded by the month."""
+    at = F.lit(now)
+    day, month, end = window_start(at, "day", zone), window_start(at, "month", zone), window_end(at, "month", zone)
+    rows = in_window(usage, F.least(day, month), end, purposes)
+    today = (F.col("ts") >= day) & (F.col("ts") < window_end(at, "day", zone))
+    n = tokens(count_reasoning)
+    got = rows.groupBy(*by).agg(F.coalesce(F.sum(F.when(today, n)), F.lit(0)).alias("day_used"), F.sum(n).alias("month_used"))
+    return got.withColumns({"day_limit": day_limit, "month_limit": month_limit, "day_resets_at": window_end(at, "day", zone), "month_resets_at": end})
+
+
 def smaller(*limits: Column) -> Column:
     """The smallest limit there is; null is none."""
     return F.least(*limits)

@@ -1,8 +1,9 @@
 """Ranked retrieval: BM25 over words and phrases, exact cosine, regular expressions, rank fusion.
 
-Scores come from one scan of the chunks: per query term an expression counts its occurrences in the
-token array, so nothing is exploded or shuffled before the top-k. Corpus statistics are one row, used
-as a scalar subquery. Scores are rounded before ranking, and ties go by chunk id.
+Scores come from one scan of the chunks, in which each text becomes one line of tokens and per query
+term an expression counts its occurrences there, so nothing is exploded or shuffled before the top-k;
+or from a stored index, of which a query reads the files of its terms alone. Corpus statistics are one
+row, used as a scalar subquery. Scores are rounded before ranking, and ties go by chunk id.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
@@ -33,17 +34,24 @@ def query_terms(query: str, mode: str = "any") -> list[tuple[list[str], bool]]:
     return terms
 
 
-def occurrences(tokens: Column, parts: list[str], prefix: bool) -> Column:
-    """How often a term's sub-tokens stand side by side."""
+def token_line(c: Column | str) -> Column:
+    """All tokens with a blank before and after each; a single blank for none."""
+    return F.concat(F.lit(" "), F.ltrim(F.regexp_replace(F.concat(T.fold(F.coalesce(T.col(c), F.lit(""))), F.lit(" ")), r"[^\p{L}\p{N}]+", " ")))
 
-    def same(t: Column, i: int) -> Column:
-        last = i == len(parts) - 1
-        return F.coalesce(t.startswith(parts[i]) if prefix and last else t == parts[i], F.lit(False))
 
-    if len(parts) == 1:
-        return F.size(F.filter(tokens, lambda t: same(t, 0)))
-    places = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(tokens) - len(parts)))
-    return F.size(F.filter(places, lambda p: reduce(lambda a, b: a & b, [same(F.get(tokens, p + i), i) for i in range(len(parts))])))
+def occurrences(line: Column, parts: list[str], prefix: bool) -> Column:
+    """How often a term's sub-tokens stand side by side in a line of tokens; overlapping ones count each."""
+    return F.regexp_count(line, F.lit(f"(?<= )(?={re.escape(' '.join(parts))}{'' if prefix else ' '})"))
+
+
+def scored(rows: DataFrame, stats: Column, terms: int, mode: str, key: str) -> DataFrame:
+    """key and score of rows (key, len, f0, f1, ...) by statistics (n, avg, n0, n1, ...); rows without the terms drop out."""
+    found = [F.col(f"f{i}") > 0 for i in range(terms)]
+    # A filter on a column that is not deterministic stays above the counting, which would else be done again below it.
+    rows = rows.withColumn("at", F.monotonically_increasing_id()).where(reduce((lambda a, b: a & b) if mode == "all" else (lambda a, b: a | b), found) & (F.col("at") >= 0)).withColumn("s", stats)
+    size = K1 * (1 - B + B * F.col("len") / F.col("s.avg"))
+    part = [F.greatest(F.ln((F.col("s.n") - F.col(f"s.n{i}") + 0.5) / (F.col(f"s.n{i}") + 0.5)), F.lit(1e-6)) * F.col(f"f{i}") * (K1 + 1) / (F.col(f"f{i}") + size) for i in range(terms)]
+    return rows.select(key, F.round(reduce(lambda a, b: a + b, part), 6).alias("score"))
 
 
 def bm25(chunks: DataFrame, query: str, mode: str = "any", key: str = "doc_id", columns: tuple[str, ...] = ("text",), scope: DataFrame | None = None) -> DataFrame:
@@ -51,16 +59,63 @@ def bm25(chunks: DataFrame, query: str, mode: str = "any", key: str = "doc_id",
     terms = query_terms(query, mode)
     if not terms:
         return chunks.select(key, F.lit(0.0).alias("score")).where(F.lit(False))
-    tokens = chunks.select(key, *(T.index_tokens(c).alias(f"t{i}") for i, c in enumerate(columns)))
+    lines = chunks.select(key, *(token_line(c).alias(f"t{i}") for i, c in enumerate(columns)))
     each = [reduce(lambda a, b: a + b, [occurrences(F.col(f"t{i}"), *t) for i in range(len(columns))]).alias(f"f{n}") for n, t in enumerate(terms)]
-    counted = tokens.select(key, reduce(lambda a, b: a + b, [F.size(f"t{i}") for i in range(len(columns))]).alias("len"), *each)
+    length = reduce(lambda a, b: a + b, [F.length(f"t{i}") - F.length(F.replace(F.col(f"t{i}"), F.lit(" "), F.lit(""))) - 1 for i in range(len(columns))])
+    counted = lines.select(key, length.alias("len"), *each)
     stats = counted.select(F.struct(F.count("*").alias("n"), F.avg("len").alias("avg"), *(F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(terms)))).alias("s")).scalar()
     rows = counted if scope is None else counted.join(scope.select(key), key, "left_semi")
-    found = [F.col(f"f{i}") > 0 for i in range(len(terms))]
-    rows = rows.where(reduce((lambda a, b: a & b) if mode == "all" else (lambda a, b: a | b), found)).withColumn("s", stats)
-    size = K1 * (1 - B + B * F.col("len") / F.col("s.avg"))
-    part = [F.greatest(F.ln((F.col("s.n") - F.col(f"s.n{i}") + 0.5) / (F.col(f"s.n{i}") + 0.5)), F.lit(1e-6)) * F.col(f"f{i}") * (K1 + 1) / (F.col(f"f{i}") + size) for i in range(len(terms))]
-    return rows.select(key, F.round(reduce(lambda a, b: a + b, part), 6).alias("score"))
+    return scored(rows, stats, len(terms), mode, key)
+
+
+#: Letters that terms in one part of an index begin with, and the number of parts.
+LEADING, BUCKETS = 3, 256
+
+
+def bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(F.substring(term, 1, LEADING)), F.lit(BUCKETS)).cast("int")
+
+
+def write_index(chunks: DataFrame, path: str, key: str = "doc_id") -> None:
+    """The inverted index of ``text``: postings in parts by their terms' first letters, sorted by term, and a row of statistics.
+
+    A part whose terms are frequent is several files, as rows are dealt by (part, term, key).
+    """
+    rows = chunks.select(key, T.index_tokens("text").alias("t"))
+    rows.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avg")).write.parquet(f"{path}/stats")
+    each = rows.select(key, F.size("t").alias("len"), F.posexplode("t").alias("pos", "term")).groupBy("term", key, "len").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+    each = each.withColumn("bucket", bucket(F.col("term"))).repartitionByRange("bucket", "term", key).sortWithinPartitions("bucket", "term", key)
+    each.write.partitionBy("bucket").parquet(f"{path}/postings")
+
+
+def indexed_bm25(spark: SparkSession, path: str, query: str, mode: str = "any", key: str = "doc_id", scope: DataFrame | None = None) -> DataFrame:
+    """The same as ``bm25`` from an index: only the parts of the query's terms are read, and of these the row groups with the terms."""
+    terms, postings = query_terms(query, mode), spark.read.parquet(f"{path}/postings")
+    if not terms:
+        return postings.select(key, F.lit(0.0).alias("score")).where(F.lit(False))
+
+    def of(part: str, prefix: bool) -> DataFrame:
+        short = prefix and len(part) < LEADING
+        rows = postings if short else postings.where(F.col("bucket") == spark.range(1).select(bucket(F.lit(part))).first()[0])
+        rows = rows.where(F.col("term").startswith(part) if prefix else F.col("term") == part)
+        return rows.groupBy(key, "len").agg(F.flatten(F.collect_list("positions")).alias("p")) if prefix else rows.select(key, "len", F.col("positions").alias("p"))
+
+    def back(k: int) -> Column:
+        return F.transform("p", lambda x: x - k)
+
+    def found(parts: list[str], prefix: bool, i: int) -> DataFrame:
+        rows = of(parts[0], prefix and len(parts) == 1)
+        for k, part in enumerate(parts[1:], start=1):
+            nxt = of(part, prefix and k == len(parts) - 1).select(key, back(k).alias("q"))
+            rows = rows.join(nxt, key).select(key, "len", F.array_intersect("p", "q").alias("p"))
+        return rows.where(F.size("p") > 0).select(key, "len", F.lit(i).alias("i"), F.size("p").alias("f"))
+
+    every = reduce(DataFrame.unionAll, [found(*t, i) for i, t in enumerate(terms)])
+    counts = every.agg(*(F.count_if(F.col("i") == i).alias(f"n{i}") for i in range(len(terms))))
+    stats = spark.read.parquet(f"{path}/stats").crossJoin(counts).select(F.struct("n", "avg", *(f"n{i}" for i in range(len(terms)))).alias("s")).scalar()  # one row by one row
+    rows = every.groupBy(key, "len").agg(*(F.coalesce(F.sum(F.when(F.col("i") == i, F.col("f"))), F.lit(0)).alias(f"f{i}") for i in range(len(terms))))
+    rows = rows if scope is None else rows.join(scope.select(key), key, "left_semi")
+    return scored(rows, stats, len(terms), mode, key)
 
 
 def top(df: DataFrame, score: str, k: int, key: str = "doc_id", smallest: bool = False) -> DataFrame:
@@ -125,23 +180,27 @@ def checked_pattern(pattern: str) -> str:
 
 
 def regex_matches(segments: DataFrame, pattern: str, ignore_case: bool = False, context: int = 120, order: tuple[str, ...] = ("doc_id",), most: int | None = 20) -> DataFrame:
-    """Matches in corpus order with the characters around each: order columns, n, start, match, around.
+    """Matches in corpus order with the characters around each: order columns (which name a segment), n, start, match, around.
 
-    Text is cut at the matches, so starts need no Python: lengths of the parts before are summed.
+    Rows carry a match and the length of the text before it; starts are running sums of these within a
+    segment, and the text comes in again where context is cut, after the limit.
     """
     p = ("(?iU)" if ignore_case else "(?U)") + checked_pattern(pattern)
-    rows = segments.where(F.col("text").rlike(p)).select(*order, "text", F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias("found"), F.split("text", p, -1).alias("between"))
-    rows = rows.select(*order, "text", "between", "found", F.posexplode("found").alias("n", "match"))
-    before = F.aggregate(F.slice("between", 1, F.col("n") + 1), F.lit(0), lambda s, x: s + F.length(x)) + F.aggregate(F.slice("found", 1, F.col("n")), F.lit(0), lambda s, x: s + F.length(x))
-    rows = rows.withColumn("start", before)
+    rows = segments.where(F.col("text").rlike(p))
+    parts = F.zip_with(F.regexp_extract_all("text", F.lit(p), F.lit(0)), F.transform(F.split("text", p, -1), F.length), lambda m, n: F.struct(m.alias("match"), n.alias("before")))
+    each = rows.select(*order, F.posexplode(parts).alias("n", "part")).where("part.match IS NOT NULL").select(*order, "n", "part.*")
+    own = Window.partitionBy(*order).orderBy("n")
+    each = each.withColumn("start", (F.sum("before").over(own) + F.coalesce(F.sum(F.length("match")).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).cast("int")).drop("before")
+    if most is not None:
+        each = F.broadcast(each.orderBy(*order, "n").limit(most))  # at most so many rows
     first = F.greatest(F.lit(0), F.col("start") - context)
     around = F.substring("text", first + 1, F.col("start") - first + F.length("match") + context)
-    out = rows.select(*order, "n", "start", "match", F.trim(F.regexp_replace(around, r"(?U)\s+", " ")).alias("around"))
-    return out if most is None else out.orderBy(*order, "n").limit(most)
+    out = segments.select(*order, "text").join(each, list(order)).select(*order, "n", "start", "match", F.trim(F.regexp_replace(around, r"(?U)\s+", " ")).alias("around"))
+    return out if most is None else out.orderBy(*order, "n")
 
 
 def postings(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The inverted index: term, key, tf, positions; to be written partitioned by a hash of the term."""
+    """Term, key, tf and positions of all texts; see ``write_index`` for what is stored."""
     each = chunks.select(key, F.posexplode(T.index_tokens("text")).alias("pos", "term"))
     return each.groupBy("term", key).agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
 

@@ -6,13 +6,12 @@ import inspect
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from datetime import datetime
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
-from lectern.functions.moments import format_date, parse_moment
+from lectern.functions.moments import format_date, moment
 from lectern.operators import scope, search, tree
 
 NO_HITS = "Keine Treffer."
@@ -35,12 +34,17 @@ class Corpus:
 
     def scoped(self, path: str | None = None, since: str | None = None, until: str | None = None) -> DataFrame:
         """Documents in scope, below a path and within days (both inclusive)."""
-        lo, hi = parse_moment(since, self.now), parse_moment(until, self.now, end_of_day=True)
+        lo, hi = (None if not (told or "").strip() else moment(F.lit(told), F.lit(int(self.now.timestamp())), self.zone, late) for told, late in ((since, False), (until, True)))
         ids = None
         if path and path.strip("/") and self.paths is not None:
             ids = scope.under(self.paths, tree.resolve(self.paths, path)).select("doc_id")
         return scope.in_scope(self.documents, cmids=self.allowed, doc_ids=ids, since=lo, until=hi)
 
+    @property
+    def zone(self) -> str:
+        """The name of the time zone of ``now``, or its distance from UTC."""
+        return getattr(self.now.tzinfo, "key", None) or self.now.strftime("%z")[:3] + ":" + self.now.strftime("%z")[3:5]
+
     def live(self, docs: DataFrame) -> DataFrame:
         return docs if self.acl is None else scope.readable(docs, self.acl)
 
@@ -128,7 +132,7 @@ def _one(c: Corpus, path: str) -> DataFrame:
 
 def stat_file(c: Corpus, path: str) -> DataFrame:
     rows = _one(c, path)
-    return rows.select("doc_id", "path", F.length("text").alias("chars"), T.token_estimate("text").alias("tokens"), format_date(F.col("timemodified"), str(c.now.tzinfo or "UTC")).alias("modified"))
+    return rows.select("doc_id", "path", F.length("text").alias("chars"), T.token_estimate("text").alias("tokens"), format_date(F.col("timemodified"), c.zone).alias("modified"))
 
 
 def read_file(c: Corpus, path: str, offset: int = 0, limit: int = 6000, page: int | None = None) -> DataFrame:
@@ -182,7 +186,3 @@ def valid_answers(question: Column, options: Column, multi: Column, answer: Colu
     """Whether answers (an array) fit a question's options."""
     free = F.size(options) == 0
     return F.when(free, F.size(answer) == 1).otherwise((F.size(F.array_except(answer, options)) == 0) & (F.size(answer) >= 1) & (multi | (F.size(answer) == 1)))
-
-
-def reduce_and(parts: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, parts)

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import difflib
-from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,12 +12,25 @@ from lectern.functions import text as T
 
 
 def unique_names(df: DataFrame, parent: list[str], name: str, order: list[str], out: str) -> DataFrame:
-    """Siblings of one name become "x", "x (2)", "x (3)" in order.
+    """Siblings of one name become "x", "x (2)", "x (3)" in order, each the first of these that no sibling before it has.
 
-    Where a literal "x (2)" is among the siblings as well, see ``settle_names``.
+    Numbers come from a window over siblings of one name. Only below parents where a name as it is
+    looks like a numbered one are names settled one after the other.
     """
     n = F.row_number().over(Window.partitionBy(*parent, name).orderBy(*order))
-    return df.withColumn(out, F.when(n == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit(" ("), n.cast("string"), F.lit(")"))))
+    rows = df.withColumn(out, F.when(n == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit(" ("), n.cast("string"), F.lit(")"))))
+    # Seldom any: adaptive execution then drops the join.
+    clash = df.where(F.col(name).rlike(r" \(\d+\)$")).select(*parent, F.lit(True).alias("clash")).distinct()
+    rows = rows.join(clash, parent, "left") if parent else rows.crossJoin(clash.agg(F.max("clash").alias("clash")))  # by one row
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.drop("clash").schema)
+
+    def settle(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(order, kind="stable")
+        part[out] = settle_names(part[name].tolist())
+        return part.drop(columns="clash")
+
+    settled = rows.where("clash").groupBy(*parent).applyInPandas(settle, kind)
+    return rows.where("clash IS NULL").drop("clash").unionByName(settled)
 
 
 def settle_names(names: list[str]) -> list[str]:
@@ -77,31 +90,39 @@ def location(path: Column) -> Column:
     return F.transform(F.filter(F.split(path, "/"), lambda p: p != ""), lambda p, i: F.struct((i + 1).alias("depth"), p.alias("name")))
 
 
-def match_name(names: list[str], wanted: str) -> tuple[str | None, list[str]]:
-    """The child that a path segment means, or None and up to three suggestions.
+#: Names of a folder that come to the driver for a fuzzy match.
+SIMILAR_NAMES = 10_000
 
-    In turn: the same name, the same but for case, the only one it begins, the only similar one.
-    """
-    if wanted in names:
-        return wanted, []
-    low = wanted.casefold()
-    for found in ([n for n in names if n.casefold() == low][:1], [n for n in names if n.casefold().startswith(low)]):
-        if len(found) == 1:
-            return found[0], []
-    near = difflib.get_close_matches(low, [n.casefold() for n in names], n=2, cutoff=0.75)
+
+def similar_name(names: list[str], wanted: str) -> tuple[str | None, list[str]]:
+    """The only name that is like a wanted one, or None and up to three suggestions."""
+    by_case = {n.casefold(): n for n in names}
+    near = difflib.get_close_matches(wanted.casefold(), list(by_case), n=2, cutoff=0.75)
     if len(near) == 1:
-        return next(n for n in names if n.casefold() == near[0]), []
+        return by_case[near[0]], []
     return None, difflib.get_close_matches(wanted, names, n=3, cutoff=0.4) or names[:5]
 
 
 def resolve(paths: DataFrame, path: str) -> str:
-    """The full path that a user's path means; one level's distinct names are read at a time."""
+    """The full path that a user's path means, level by level: the same name, else the same but for case, else the only one it begins, else the only similar one.
+
+    All but the last are one filtered query of at most three rows; for the last, up to SIMILAR_NAMES
+    names of the folder whose lengths allow likeness are looked at.
+    """
     at = ""
     for depth, wanted in enumerate([p.strip() for p in (path or "/").split("/") if p.strip()], start=1):
-        level = paths if not at else paths.where(F.col("path").startswith(at + "/"))
-        name = F.get(F.split("path", "/"), F.lit(depth))
-        names = [r[0] for r in level.where(name.isNotNull()).select(name.alias("n")).distinct().orderBy("n").collect()]
-        found, near = match_name(names, wanted)
+        below = paths if not at else paths.where(F.col("path").startswith(at + "/"))
+        level = below.select(F.get(F.split("path", "/"), F.lit(depth)).alias("n")).where("n IS NOT NULL").distinct()
+        low = wanted.lower()
+        rank = F.when(F.col("n") == wanted, 0).when(F.lower("n") == low, 1).when(F.lower("n").startswith(low), 2)
+        hits = level.withColumn("rank", rank).where("rank IS NOT NULL").orderBy("rank", "n").limit(3).collect()
+        sure = [r.n for r in hits if r["rank"] < 2][:1] or [r.n for r in hits]
+        near: list[str] = []
+        if len(sure) == 1:
+            found = sure[0]
+        else:
+            names = [r.n for r in level.orderBy(F.abs(F.length("n") - len(wanted)), "n").limit(SIMILAR_NAMES).collect()]
+            found, near = similar_name(sorted(names), wanted)
         if found is None:
             raise LookupError(f"no {wanted!r} in {at or '/'}; perhaps {', '.join(near) or 'nothing there'}")
         at = f"{at}/{found}"
@@ -111,13 +132,19 @@ def resolve(paths: DataFrame, path: str) -> str:
 def read_segments(segments: DataFrame, offset: int = 0, limit: int = 6000, page: int | None = None) -> DataFrame:
     """One row per document: text (a part of its segments joined by blank lines), page, next_offset.
 
-    Page is that of the last segment that begins at or before the offset.
+    Page is that of the last segment that begins at or before the offset. Only segments that reach into
+    the part are put together.
     """
     rows = segments if page is None else segments.where(F.col("page") == page)
     by = Window.partitionBy("doc_id").orderBy("ordinal")
-    rows = rows.withColumn("start", F.coalesce(F.sum(F.length("text") + 2).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    whole = rows.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "text"))), lambda s: s["text"]), "\n\n").alias("all"), F.max_by(F.when(F.col("start") <= offset, F.col("page")), F.when(F.col("start") <= offset, F.col("start"))).alias("page"))
-    return whole.select("doc_id", F.substring("all", offset + 1, limit).alias("text"), "page", F.when(F.length("all") > offset + limit, F.lit(offset + limit)).alias("next_offset"))
+    rows = rows.withColumns({"start": F.coalesce(F.sum(F.length("text") + 2).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "last": F.lead("ordinal").over(by).isNull()})
+    end = F.col("start") + F.length("text")
+    reaches = (end + 2 > offset) & (F.col("start") < offset + limit)
+    own = rows.select("doc_id", "ordinal", "page", "start", end.alias("end"), "last", F.when(reaches, F.concat("text", F.when(F.col("last"), F.lit("")).otherwise(F.lit("\n\n")))).alias("text"))
+    at = F.when(F.col("start") <= offset, F.col("start"))
+    got = own.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("ordinal", "start", "text")))).alias("s"), F.max("end").alias("size"), F.max_by(F.when(F.col("start") <= offset, F.col("page")), at).alias("page"))
+    whole, first = F.array_join(F.transform("s", lambda x: x["text"]), ""), F.coalesce(F.get("s", F.lit(0))["start"], F.lit(0))
+    return got.select("doc_id", F.substring(whole, (F.lit(offset + 1) - first).cast("int"), F.lit(limit)).alias("text"), "page", F.when(F.col("size") > offset + limit, F.lit(offset + limit)).alias("next_offset"))
 
 
 def list_documents(docs: DataFrame, newest: bool = True, limit: int = 20, acl: DataFrame | None = None, modified: str = "timemodified") -> DataFrame:
@@ -130,10 +157,7 @@ def list_documents(docs: DataFrame, newest: bool = True, limit: int = 20, acl: D
 def access_trap(modules: DataFrame) -> DataFrame:
     """Dataset rule: of every second course the last module is hidden, of the others the last section restricted."""
     last = F.row_number().over(Window.partitionBy("course_id").orderBy(F.desc("position"), F.desc("cmid"))) == 1
-    index = F.dense_rank().over(Window.orderBy("course_id")) - 1
-    kind = F.when(index % 2 == 0, F.lit("hidden")).otherwise(F.lit("restricted"))
-    return modules.withColumn("trap", F.when(last, kind))
-
-
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
+    # Courses are few beside their modules; only their distinct ids pass through one window.
+    every = modules.select("course_id").distinct().withColumn("index", F.row_number().over(Window.orderBy("course_id")) - 1)
+    kind = F.when(F.col("index") % 2 == 0, F.lit("hidden")).otherwise(F.lit("restricted"))
+    return modules.withColumn("last", last).join(every, "course_id").withColumn("trap", F.when(F.col("last"), kind)).drop("last", "index")

@@ -8,18 +8,18 @@ for the event log.
 from __future__ import annotations
 
 import functools
-import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import moments as M
 from lectern.functions import text as T
 from lectern.functions import urls as U
 from lectern.functions import vectors as V
-from lectern.operators import chunking, embedding, events, jobs, quota, scope, search, sync, tree
+from lectern.operators import chunking, embedding, events, jobs, outbox, quota, scope, search, store, sync, tools, tree
 from lectern.plans.shipping import ship
+from lectern.plans.storage import scratch
 from lectern.sources import connectors, formats
 from lectern.streaming import usage as streaming
 
@@ -133,6 +133,27 @@ def phrase_search(spark, sf_dir):
     return search.top(search.bm25(table(spark, sf_dir, "documents"), "of the", "phrase"), "score", 50)
 
 
+def _indexed(spark, sf_dir, text: str, mode: str = "any") -> DataFrame:
+    path = scratch(spark, "index")
+    search.write_index(table(spark, sf_dir, "documents"), path)
+    return search.top(search.indexed_bm25(spark, path, text, mode), "score", 50)
+
+
+@query(ORACLE["bm25_any"])
+def bm25_indexed(spark, sf_dir):
+    return _indexed(spark, sf_dir, _QUERY)
+
+
+@query(ORACLE["bm25_all"])
+def bm25_all_indexed(spark, sf_dir):
+    return _indexed(spark, sf_dir, _QUERY, "all")
+
+
+@query(ORACLE["phrase_search"])
+def phrase_indexed(spark, sf_dir):
+    return _indexed(spark, sf_dir, "of the", "phrase")
+
+
 @query(f"WITH {_NEAR} SELECT vec_id, distance FROM near ORDER BY distance, vec_id LIMIT 50")
 def cosine_topk(spark, sf_dir):
     return search.top(search.cosine(_vectors(spark, sf_dir), _query_vector(spark, sf_dir)), "distance", 50, "vec_id", smallest=True)
@@ -362,7 +383,8 @@ def next_due(spark, sf_dir):
 
 @query("SELECT count(*) AS documents, count(*) FILTER (WHERE length(text) > 5000) AS pending, count(*) FILTER (WHERE lang = 'fr') AS skipped, count(DISTINCT source) AS courses FROM documents")
 def ingest_status(spark, sf_dir):
-    return table(spark, sf_dir, "documents").agg(F.count("*").alias("documents"), F.count_if(F.length("text") > 5000).alias("pending"), F.count_if(F.col("lang") == "fr").alias("skipped"), F.count_distinct("source").alias("courses"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("course_id"), F.when(F.length("text") <= 5000, 1).alias("extract_version"), F.when(F.col("lang") == "fr", "no-text").alias("skip_reason"))
+    return jobs.ingest_status(docs)
 
 
 # ---------------------------------------------------------------- quota
@@ -422,8 +444,12 @@ def quota_override(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), quota.user_limit(override, F.col("c_nationkey"), k <= 2).alias("most"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, epoch(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+        s AS (SELECT user_id, n, true AS allowed, NULL::DOUBLE AS a, t AS b FROM e WHERE n = 1
+              UNION ALL SELECT e.user_id, e.n, s.a IS NULL OR e.t - s.a >= 60, CASE WHEN s.a IS NULL OR e.t - s.a >= 60 THEN s.b ELSE s.a END, CASE WHEN s.a IS NULL OR e.t - s.a >= 60 THEN e.t ELSE s.b END FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1)
+        SELECT user_id, count(*) FILTER (WHERE allowed) AS allowed, count(*) AS events FROM s GROUP BY user_id""")
 def burst_windows(spark, sf_dir):
+    """In the SQL a and b are the times of the last two allowed events."""
     return events.burst(table(spark, sf_dir, "events"), per_minute=2).groupBy("user_id").agg(F.count_if("allowed").alias("allowed"), F.count("*").alias("events"))
 
 
@@ -493,10 +519,14 @@ def normalise_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.normalise_text(F.concat("text", F.lit("  "))).alias("text"))
 
 
+#: The entities that the test pages hold.
+_ENTITIES = (("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"'), ("&amp;", "&"))
+
+
 def _html_sql() -> str:
     x = "regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g')"
     x = f"regexp_replace(regexp_replace({x}, '(?i)</(p|div|li|h[1-6]|tr|table|blockquote)>|<br\\s*/?>', chr(10), 'g'), '<[^>]+>', ' ', 'g')"
-    for entity, char in T.ENTITIES:
+    for entity, char in _ENTITIES:
         x = f"replace({x}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}')"
     x = f"regexp_replace(regexp_replace(regexp_replace({x}, '[ \\t\\r\\f\\v]+', ' ', 'g'), '(?m)^[  ]+', '', 'g'), '(?m)[  ]+$', '', 'g')"
     return f"SELECT page_id, trim(regexp_replace({x}, '\\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10)) AS text FROM pages"
@@ -636,23 +666,287 @@ def stream_usage_daily(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
     usage = rows.select(F.col("ts").cast("timestamp").alias("ts"), "user_id", F.floor("value").cast("long").alias("tokens"))
-    told = spark.conf.get("spark.checkpoint.dir", None)
-    import uuid
+    return streaming.run_available(streaming.daily_usage(usage), scratch(spark, "usage"), ["day", "user_id"]).select("user_id", F.col("day").cast("string").alias("day"), "tokens", "calls")
 
-    name = f"usage_{uuid.uuid4().hex}"
-    at = f"{told}/{name}" if told else tempfile.mkdtemp(prefix="lectern-stream-")
-    return streaming.run_available(streaming.daily_usage(usage), name, at).select("user_id", F.col("day").cast("string").alias("day"), "tokens", "calls")
 
-
-@query("SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY user_id, event_type")
+@query("SELECT user_id, event_type FROM events GROUP BY user_id, event_type")
 def idempotent_first(spark, sf_dir):
-    by = Window.partitionBy("user_id", "event_type").orderBy("event_id")
-    return table(spark, sf_dir, "events").withColumn("n", F.row_number().over(by)).where("n = 1").select("user_id", "event_type", "event_id")
+    """Repeats within a stream's watermark are dropped; which of them stays is not told, so the ids are."""
+    schema = table(spark, sf_dir, "events").schema
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+    sent = rows.select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("conversation_id"), F.col("event_type").alias("client_msg_id"))
+    first = streaming.run_available(streaming.once_per_message(sent, "3650 days"), scratch(spark, "once"), ["conversation_id", "client_msg_id"])
+    return first.select(F.col("conversation_id").alias("user_id"), F.col("client_msg_id").alias("event_type"))
 
 
-@query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'error' WHEN 1 THEN 'hackmd' WHEN 2 THEN 'google' WHEN 3 THEN 'nextcloud' WHEN 4 THEN 'youtube' END AS connector FROM documents")
+@query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'error' WHEN 1 THEN 'hackmd' WHEN 2 THEN 'google' WHEN 3 THEN 'nextcloud' WHEN 4 THEN 'youtube' END AS connector, CASE doc_id % 5 WHEN 1 THEN 'https://hackmd.io/a' || doc_id || '.md' WHEN 2 THEN 'https://docs.google.com/document/d/' || doc_id || '/export?format=txt' WHEN 3 THEN 'https://cloud.example.org/s/abcd' || doc_id || '/download' WHEN 4 THEN doc_id::VARCHAR END AS fetch_url FROM documents")
 def external_connectors(spark, sf_dir):
     i = F.col("doc_id").cast("string")
     url = F.element_at(F.array(F.concat(F.lit("ftp://x/"), i), F.concat(F.lit("https://hackmd.io/a"), i, F.lit("?view")), F.concat(F.lit("https://docs.google.com/document/d/"), i, F.lit("/edit")), F.concat(F.lit("https://cloud.example.org/s/abcd"), i, F.lit("?dir=/")), F.concat(F.lit("https://www.youtube.com/watch?v="), i)), (F.col("doc_id") % 5 + 1).cast("int"))
     docs = table(spark, sf_dir, "documents").select("doc_id", F.lit("external").alias("kind"), url.alias("external_url"))
-    return connectors.external_requests(docs).select("doc_id", "connector")
+    return connectors.external_requests(docs).select("doc_id", "connector", "fetch_url")
+
+
+# ---------------------------------------------------------------- reads by key, updates
+
+
+@query("SELECT doc_id, source FROM documents WHERE doc_id = 7")
+def document_lookup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumn("tombstoned_at", F.lit(1))
+    return store.document(docs, 7).select("doc_id", "source")
+
+
+def _chunks(spark, sf_dir) -> DataFrame:
+    """Lines as chunks."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ordinal", "text"))
+
+
+_CHUNKS = "ch AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ordinal FROM documents)"
+
+
+@query(f"WITH {_CHUNKS} SELECT ordinal, text FROM ch WHERE doc_id = 7 ORDER BY ordinal")
+def chunks_of_document(spark, sf_dir):
+    return store.chunks_of(_chunks(spark, sf_dir), 7).select("ordinal", "text")
+
+
+@query("SELECT o_orderkey AS conversation_id FROM orders WHERE o_custkey % 10 = 3 ORDER BY o_orderdate DESC, o_orderdate DESC, o_orderkey LIMIT 100")
+def conversations_of_user(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("conversation_id"), F.lit("s").alias("site_id"), (F.col("o_custkey") % 10).alias("user_id"), F.col("o_orderdate").alias("updated_at"), F.col("o_orderdate").alias("created_at"))
+    return store.conversations(rows, "s", 3).select("conversation_id")
+
+
+@query("SELECT doc_id FROM documents WHERE lang = 'en' AND sha256(text) IN (SELECT sha256(text) FROM documents WHERE doc_id % 50 = 0)")
+def documents_with_blob(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("blob_sha256"), F.when(F.col("lang") != "en", 1).alias("tombstoned_at"))
+    return store.with_blob(docs, docs.where("doc_id % 50 = 0").select(F.col("blob_sha256").alias("sha256"))).select("doc_id")
+
+
+@query(f"WITH {_CHUNKS} SELECT doc_id, ordinal, CASE WHEN doc_id % 9 = 0 THEN text || '!' ELSE text END AS text FROM ch WHERE doc_id % 9 <> 0 OR ordinal < 2")
+def content_replaced(spark, sf_dir):
+    """Every ninth document gets its first two chunks alone, changed, in a stored table of buckets."""
+    rows, path = _chunks(spark, sf_dir), scratch(spark, "chunks")
+    rows.withColumn("bucket", store.bucket(F.col("doc_id"), 16)).repartition("bucket").write.partitionBy("bucket").parquet(path)
+    store.replace_content(rows.where("doc_id % 9 = 0 AND ordinal < 2").withColumn("text", F.concat("text", F.lit("!"))), path, 16)
+    return spark.read.parquet(path).select("doc_id", "ordinal", "text")
+
+
+@query(f"WITH {_CHUNKS} SELECT doc_id, ordinal FROM ch WHERE doc_id % 4 <> 1")
+def content_deleted(spark, sf_dir):
+    rows = _chunks(spark, sf_dir)
+    return store.delete_content(rows, rows.where("doc_id % 4 = 1")).select("doc_id", "ordinal")
+
+
+@query(f"WITH {_OLD}, {_NEW}, {_CHUNKS} SELECT ch.doc_id, ordinal FROM ch JOIN nw USING (doc_id) JOIN old USING (doc_id) WHERE gone IS NULL AND old.h = nw.h AND old.p <> nw.p")
+def rechunk_relocated(spark, sf_dir):
+    old, new = (f(spark, sf_dir).withColumn("header_path", F.array("placement_hash")) for f in (_old, _new))
+    return store.to_rechunk(_chunks(spark, sf_dir), sync.classify(old, new, ["doc_id"], ["header_path"])).select("doc_id", "ordinal")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND lang = 'en' THEN 'ocr' WHEN doc_id % 3 = 0 THEN 'needs-ocr' WHEN length(text) < 100 THEN 'no-text' END AS outcome FROM documents")
+def index_outcome(spark, sf_dir):
+    out = store.index_outcome(F.when(F.length("text") < 100, 0).otherwise(1), F.col("doc_id") % 3 == 0, F.col("lang") == "en")
+    return table(spark, sf_dir, "documents").select("doc_id", out.alias("outcome"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 4 ELSE 1 END AS extract_version, CASE WHEN doc_id % 2 = 0 THEN CASE WHEN doc_id % 6 = 0 THEN 'no-text' END WHEN lang = 'fr' THEN 'old' END AS skip_reason FROM documents")
+def extraction_recorded(spark, sf_dir):
+    docs = _extracted(spark, sf_dir)
+    done = docs.where("doc_id % 2 = 0").select("doc_id", F.when(F.col("doc_id") % 6 == 0, "no-text").alias("skip_reason"))
+    return store.record_extraction(docs, done, 4)
+
+
+def _extracted(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("extract_version"), F.when(F.col("lang") == "fr", "old").alias("skip_reason"))
+
+
+@query("SELECT doc_id, CASE WHEN lang = 'fr' THEN NULL ELSE 1 END AS extract_version FROM documents")
+def extraction_reset(spark, sf_dir):
+    return store.reset_extraction(_extracted(spark, sf_dir), only_skipped=True).select("doc_id", "extract_version")
+
+
+@query("SELECT c_custkey AS conversation_id, CASE WHEN c_custkey % 3 = 0 THEN substr(repeat(c_name, 20), 1, 200) ELSE c_name END AS title, c_custkey % 5 = 0 AS archived, CASE WHEN c_custkey % 15 IN (0, 3, 5, 6, 9, 10, 12) THEN 9 ELSE 1 END AS updated_at FROM customer")
+def conversations_updated(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    rows = c.select(F.col("c_custkey").alias("conversation_id"), F.col("c_name").alias("title"), F.lit(False).alias("archived"), F.lit(1).alias("created_at"), F.lit(1).alias("updated_at"))
+    changes = c.where("c_custkey % 3 = 0 OR c_custkey % 5 = 0").select(F.col("c_custkey").alias("conversation_id"), F.when(F.col("c_custkey") % 3 == 0, F.repeat("c_name", F.lit(20))).alias("title"), F.when(F.col("c_custkey") % 5 == 0, True).alias("archived"))
+    return store.update_conversations(rows, changes, 9).select("conversation_id", "title", "archived", "updated_at")
+
+
+@query("SELECT user_id AS k, CASE WHEN count(*) FILTER (WHERE event_type = 'click') > 0 THEN arg_max(event_id, event_id) FILTER (WHERE event_type = 'click') ELSE -1 END AS v FROM events GROUP BY user_id")
+def cache_put(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    cache = e.select(F.col("user_id").alias("k"), F.lit(-1).cast("long").alias("v")).distinct()
+    return store.put_cache(cache, e.where("event_type = 'click'").select(F.col("user_id").alias("k"), F.col("event_id").alias("v"), F.col("event_id").alias("at")), ["k"])
+
+
+def _outbox(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 7).alias("course_id"), F.col("o_custkey").alias("cmid"), (F.col("o_orderkey") % 14).alias("attempts"), (F.col("o_orderkey") % 100).alias("next_attempt_at"))
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 100 <= 50 AND o_orderkey % 14 < 12 ORDER BY o_custkey % 7, o_custkey, o_orderkey LIMIT 200")
+def outbox_due(spark, sf_dir):
+    return outbox.due(_outbox(spark, sf_dir), 50).select("id")
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 14 > 0 ORDER BY o_orderkey % 14 DESC, o_custkey % 7, o_custkey, o_orderkey LIMIT 50")
+def outbox_failing(spark, sf_dir):
+    return outbox.failing(_outbox(spark, sf_dir)).select("id")
+
+
+@query("SELECT count(*) FILTER (WHERE o_orderkey % 14 < 12) AS pending, count(*) FILTER (WHERE o_orderkey % 14 BETWEEN 1 AND 11) AS failing, count(*) FILTER (WHERE o_orderkey % 14 >= 12) AS exhausted FROM orders")
+def outbox_counts(spark, sf_dir):
+    return outbox.counts(_outbox(spark, sf_dir))
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 14 >= 12 THEN 0 ELSE o_orderkey % 14 END AS attempts, CASE WHEN o_orderkey % 14 >= 12 THEN 77 ELSE o_orderkey % 100 END AS next_attempt_at FROM orders WHERE o_custkey % 7 <> 2")
+def outbox_retried(spark, sf_dir):
+    rows = _outbox(spark, sf_dir)
+    return outbox.cleared(outbox.retry_exhausted(rows, 77), rows.where("course_id = 2")).select("id", "attempts", "next_attempt_at")
+
+
+@query("WITH n AS (SELECT max(floor(epoch(ts)))::BIGINT AS now FROM events) SELECT user_id, (coalesce(sum(floor(value)) FILTER (WHERE date_trunc('day', ts) = date_trunc('day', to_timestamp(now) AT TIME ZONE 'UTC')), 0))::BIGINT AS day_used, sum(floor(value))::BIGINT AS month_used, any_value(epoch(date_trunc('day', to_timestamp(now) AT TIME ZONE 'UTC') + INTERVAL 1 DAY))::BIGINT AS day_resets_at FROM events, n WHERE date_trunc('month', ts) = date_trunc('month', to_timestamp(now) AT TIME ZONE 'UTC') GROUP BY user_id")
+def quota_status(spark, sf_dir):
+    use = _usage(spark, sf_dir)
+    now = use.agg(F.max("ts")).first()[0]
+    return quota.status(use, now, "UTC", F.lit(3000), F.lit(9000), ("click", "view", "purchase", "signup", "logout", "login", "search", "error"), ("user_id",)).select("user_id", "day_used", "month_used", "day_resets_at")
+
+
+# ---------------------------------------------------------------- tools and operators without a table of their own
+
+
+@query("SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 4 = 0 THEN 'done' WHEN o_orderkey % 4 = 1 THEN 'retry' WHEN o_orderkey % 4 = 2 THEN 'waiting' ELSE 'skipped' END AS outcome FROM orders")
+def job_outcome(spark, sf_dir):
+    k = F.col("o_orderkey") % 4
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.when(k == 1, "transient").when(k == 2, "missing-blob").when(k == 3, "broken").alias("error"))
+    return jobs.outcome(rows).select("doc_id", "outcome")
+
+
+@query(f"WITH {_JOBS} SELECT id, CASE WHEN stage = 'stage0' AND state = 'failed' AND t <= {_NOW} - 21600 THEN 'queued' ELSE state END AS state FROM jobs")
+def job_requeue_failed(spark, sf_dir):
+    rows = _jobs(spark, sf_dir).withColumns({"stage": F.when(F.col("stage") == "stage0", "fetch").otherwise(F.col("stage")), "finished_at": F.col("next_attempt_at")})
+    return jobs.requeue_failed(rows, _NOW).select("id", "state")
+
+
+@query("SELECT user_id, event_type FROM events GROUP BY ALL")
+def message_dedupe(spark, sf_dir):
+    return events.dedupe(table(spark, sf_dir, "events").select("user_id", "event_type"), "user_id", "event_type")
+
+
+@query("SELECT sha256(text) AS sha256, min(doc_id) AS pos FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 = 0) GROUP BY 1")
+def missing_blobs(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("sha256"), F.col("doc_id").alias("pos"))
+    return sync.missing_blobs(docs, docs.where("pos % 3 = 0").select("sha256"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 20 = 3 OR doc_id % 30 // 10 = 2")
+def tombstoned_by_prefix(spark, sf_dir):
+    """Documents of three courses with ten modules: one course goes, and single ones."""
+    docs = table(spark, sf_dir, "documents").select(F.concat_ws(":", (F.col("doc_id") % 30 / 10).cast("int"), F.col("doc_id") % 10, "doc_id").alias("doc_id"), F.lit(None).cast("int").alias("tombstoned_at"))
+    ids = docs.where(F.split("doc_id", ":")[2].cast("long") % 20 == 3).select("doc_id").unionAll(spark.range(1).select(F.lit("2:*")))
+    return sync.tombstone(docs, ids, 5).where("tombstoned_at = 5").select(F.split("doc_id", ":")[2].cast("long").alias("doc_id"))
+
+
+@query("SELECT max(event_id) AS id FROM events WHERE event_type <> 'click' GROUP BY user_id, event_id % 3")
+def outbox_collapsed(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").where("event_type <> 'click'").select(F.col("event_id").alias("id"), F.col("user_id").alias("course_id"), (F.col("event_id") % 3).alias("cmid"), F.lit("upsert").alias("action"))
+    return sync.collapse_outbox(rows).select("id")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 4 <> 0 AND (doc_id % 3 = 0 OR doc_id % 3 = 1) ORDER BY doc_id % 5, doc_id LIMIT 40")
+def extraction_due(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 4 == 0, 1).alias("tombstoned_at"), F.when(F.col("doc_id") % 3 == 1, 2).when(F.col("doc_id") % 3 == 2, 3).alias("extract_version"), (F.col("doc_id") % 5).alias("last_seen"))
+    return sync.needing_extraction(docs, 3, 40).select("doc_id")
+
+
+@query("SELECT doc_id, doc_id % 30 // 10 AS course, doc_id % 10 AS cmid, 'p:' || doc_id AS part FROM documents")
+def doc_id_parts(spark, sf_dir):
+    d = T.doc_id_parts(F.concat_ws(":", (F.col("doc_id") % 30 / 10).cast("int"), F.col("doc_id") % 10, F.lit("p"), "doc_id"))
+    return table(spark, sf_dir, "documents").select("doc_id", d["course"].alias("course"), d["cmid"].alias("cmid"), d["part"].alias("part"))
+
+
+@query("SELECT conv_id, turn, 'u:' || conv_id AS owner, turn::VARCHAR AS conversation, 't' AS part FROM conversations")
+def thread_parts(spark, sf_dir):
+    d = T.thread_parts(F.concat_ws(":", F.lit("u"), "conv_id", "turn", F.lit("t")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", d["owner"].alias("owner"), d["conversation"].alias("conversation"), d["turn"].alias("part"))
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_size % 5 = 0 THEN 'kein Text' WHEN p_size % 5 = 1 THEN 'wird verarbeitet' WHEN p_size % 2 = 0 THEN p_size || ' Seiten' ELSE (p_size * 10) || ' Zeichen' END AS label FROM part")
+def size_label(spark, sf_dir):
+    k = F.col("p_size") % 5
+    label = T.size_label(F.when(F.col("p_size") % 2 == 0, F.col("p_size")), F.col("p_size") * 10, F.when(k == 0, "x"), F.when(k != 1, 1))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), label.alias("label"))
+
+
+@query("SELECT s_suppkey AS id, CASE s_suppkey % 3 WHEN 0 THEN s_suppkey::DOUBLE WHEN 1 THEN 60.0 END AS wait FROM supplier")
+def retry_after(spark, sf_dir):
+    k = F.col("s_suppkey")
+    header = F.when(k % 3 == 0, F.concat(F.lit(" "), k.cast("string"))).when(k % 3 == 1, F.lit("Tue, 10 Nov 2026 09:31:00 GMT")).otherwise(F.lit("soon"))
+    return table(spark, sf_dir, "supplier").select(k.alias("id"), M.retry_after(header, F.lit(1794303000)).alias("wait"))
+
+
+@query("SELECT s_suppkey AS id, CASE s_suppkey % 4 WHEN 0 THEN 1794268800 WHEN 1 THEN 1794268800 - 86400 * (s_suppkey % 9) WHEN 2 THEN 1794303000 - 3600 * (s_suppkey % 9) ELSE 1767225600 END AS at FROM supplier")
+def parsed_moments(spark, sf_dir):
+    k = F.col("s_suppkey")
+    n = (k % 9).cast("string")
+    word = F.when(k % 4 == 0, "heute").when(k % 4 == 1, F.concat(F.lit("-"), n, F.lit("d"))).when(k % 4 == 2, F.concat(F.lit("- "), n, F.lit("h"))).otherwise(F.lit("2026-01-01"))
+    return table(spark, sf_dir, "supplier").select(k.alias("id"), M.moment(word, F.lit(1794303000)).alias("at"))
+
+
+@query("SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'https://moodle/mod/page/view.php?id=' || c_custkey WHEN 1 THEN CASE WHEN c_nationkey < 20 THEN 'https://moodle/course/view.php?id=' || c_nationkey ELSE '' END ELSE '' END AS url FROM customer")
+def resolved_refs(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    refs = c.select(F.when(k % 3 == 0, "module").when(k % 3 == 1, "course").otherwise("module").alias("kind"), F.when(k % 3 == 1, F.col("c_nationkey").cast("string")).otherwise(k.cast("string")).alias("id"), k.alias("ref"))
+    courses = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("course_id"), F.when(F.col("n_nationkey") >= 20, 1).alias("tombstoned_at"))
+    modules = c.select(k.cast("int").alias("cmid"), F.lit("page").alias("modname"))
+    got = connectors.resolve_refs(refs.select("kind", "id").distinct(), courses, modules, modules.where("cmid % 3 = 0"), "https://moodle")
+    return refs.join(got, ["kind", "id"]).select(F.col("ref").alias("id"), "url")
+
+
+def _corpus(spark, sf_dir) -> tools.Corpus:
+    """Documents at /lang/source/id, those of labels with toxic = 0 readable."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("doc_id").alias("cmid"), (F.col("doc_id") * 86_400).alias("timemodified"), F.concat(F.lit("/"), "lang", F.lit("/"), "source", F.lit("/d"), "doc_id").alias("path"))
+    return tools.Corpus(docs.drop("path"), docs.select("doc_id", "path"), segments=_chunks(spark, sf_dir).withColumn("page", F.col("ordinal") + 1), acl=_visible(spark, sf_dir))
+
+
+@query("SELECT source AS name, count(*) AS n, max(doc_id) * 86400 AS modified FROM documents WHERE lang = 'en' GROUP BY source")
+def tool_list_dir(spark, sf_dir):
+    return tools.list_dir(_corpus(spark, sf_dir), "/en").select("name", "n", "modified")
+
+
+@query("SELECT doc_id, length(text) AS chars, greatest(1, length(text) // 4) AS tokens FROM documents WHERE doc_id = (SELECT min(doc_id) FROM labels JOIN documents USING (doc_id) WHERE toxic = 0)")
+def tool_stat_file(spark, sf_dir):
+    return tools.stat_file(_corpus(spark, sf_dir), _path(spark, sf_dir)).select("doc_id", "chars", "tokens")
+
+
+def _path(spark, sf_dir) -> str:
+    """The path of the first readable document."""
+    c = _corpus(spark, sf_dir)
+    return c.paths.join(c.acl, "doc_id", "left_semi").orderBy("doc_id").select("path").first()[0]
+
+
+@query("WITH d AS (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS t FROM documents WHERE doc_id = (SELECT min(doc_id) FROM labels JOIN documents USING (doc_id) WHERE toxic = 0)) SELECT doc_id, substr(t, 21, 100) AS text, CASE WHEN length(t) > 120 THEN 120 END AS next_offset FROM d")
+def tool_read_file(spark, sf_dir):
+    return tools.read_file(_corpus(spark, sf_dir), _path(spark, sf_dir), offset=20, limit=100).select("doc_id", "text", "next_offset")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 0) AND lang = 'en' AND doc_id * 86400 BETWEEN 864000 AND 86400 * 300 + 86399 ORDER BY doc_id DESC LIMIT 15")
+def tool_list_documents(spark, sf_dir):
+    return tools.list_documents(_corpus(spark, sf_dir), path="/en", limit=15, since="1970-01-11", until="1970-10-28").select("doc_id")
+
+
+@query("WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '[a-z]+tion')) AS match, generate_subscripts(regexp_extract_all(text, '[a-z]+tion'), 1) - 1 AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 0)) SELECT doc_id, n, match FROM m ORDER BY doc_id, n LIMIT 30")
+def tool_search_regex(spark, sf_dir):
+    return tools.search_regex(_corpus(spark, sf_dir), "[a-z]+tion", max_matches=30).select("doc_id", "n", "match")
+
+
+@query(f"WITH {_bm25_sql(_THREE)}, t AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM bm ORDER BY score DESC, doc_id LIMIT 20) SELECT doc_id, rank FROM t WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 0)")
+def tool_search_text(spark, sf_dir):
+    return tools.search_text(_corpus(spark, sf_dir), _QUERY, k=20).select("doc_id", "rank")
+
+
+@query("SELECT c_nationkey AS user_id, count(*) AS courses, count(*) FILTER (WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')) AS taught FROM customer GROUP BY c_nationkey")
+def tool_current_user(spark, sf_dir):
+    role = F.when(F.col("c_mktsegment") == "BUILDING", "teacher").when(F.col("c_mktsegment") == "MACHINERY", "manager").otherwise("student")
+    roles = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("user_id"), F.col("c_custkey").alias("course_id"), F.array(role).alias("roles"))
+    return tools.current_user(tools.Corpus(roles), roles)

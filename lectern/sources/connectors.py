@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from lectern.functions import text as T
 from lectern.functions import urls as U
@@ -18,6 +19,23 @@ def read_documents(spark: SparkSession, path: str, form: str = "json") -> DataFr
     return spark.read.schema(DOCUMENT).format(form).load(path)
 
 
+def bounded_request(rows: DataFrame, most: int = MOST_ROWS) -> DataFrame:
+    """One request's rows; more than ``most`` are an error when they are read. No more than one row above that is counted."""
+    if len(rows.select(F.lit(1)).limit(most + 1).collect()) > most:
+        raise ValueError(f"a request has at most {most} documents")
+    return rows
+
+
+def unwrapped(spark: SparkSession, path: str, field: str = "documents") -> DataFrame:
+    """Documents of JSON files that are lines, an array, or an object with them in ``field``."""
+    schema = spark.createDataFrame([], DOCUMENT).schema
+    text = spark.read.text(path, wholetext=True).select(F.trim("value").alias("v"))
+    bare = F.from_json("v", ArrayType(schema))
+    wrapped = F.from_json("v", StructType([StructField(field, ArrayType(schema))]))[field]
+    lines = F.transform(F.filter(F.split("v", "\n"), lambda x: F.trim(x) != ""), lambda x: F.from_json(x, schema))
+    return text.select(F.explode(F.when(F.col("v").startswith("["), bare).when(wrapped.isNotNull(), wrapped).otherwise(lines)).alias("d")).select("d.*")
+
+
 def stream_documents(spark: SparkSession, path: str) -> DataFrame:
     """Pushed documents as a stream of JSON files."""
     return spark.readStream.schema(DOCUMENT).json(path)
@@ -58,10 +76,11 @@ def by_ids(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return rows.join(ids, key).orderBy("pos")
 
 
-def modules_to_documents(modules: DataFrame, files: Column | None = None) -> DataFrame:
+def modules_to_documents(modules: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """Documents of modules (course_id, cmid, modname, name, intro, content, url, chapters): a part per text.
 
-    label and intro are inline, page and book chapters HTML, url external.
+    label and intro are inline, page and book chapters HTML, url external; ``files`` (cmid, path,
+    sha256, filename) of resource and folder modules are a part each, named by their path.
     """
     base = ["course_id", "cmid", "modname", "name"]
     part = lambda cond, kind, part, text, url: modules.where(cond).select(*base, F.lit(kind).alias("kind"), part.alias("part"), text.alias("text"), url.alias("external_url"))
@@ -72,8 +91,12 @@ def modules_to_documents(modules: DataFrame, files: Column | None = None) -> Dat
     rows = rows.unionAll(part((F.col("modname") == "url") & has("url"), "external", F.lit("url"), none, F.col("url")))
     chapters = modules.where(F.col("modname") == "book").select(*base, F.posexplode("chapters").alias("n", "chapter"))
     rows = rows.unionAll(chapters.select(*base, F.lit("html").alias("kind"), F.concat(F.lit("chapter"), (F.col("n") + 1).cast("string")).alias("part"), F.col("chapter").alias("text"), none.alias("external_url")))
+    rows = rows.withColumn("digest", F.sha2(F.coalesce("text", "external_url"), 256))
+    if files is not None:
+        own = modules.where(F.col("modname").isin("resource", "folder")).select(*base).join(files, "cmid")
+        rows = rows.unionByName(own.select(*base[:3], F.col("filename").alias("name"), F.lit("file").alias("kind"), F.concat(F.lit("file:"), "path", "filename").alias("part"), none.alias("text"), none.alias("external_url"), F.col("sha256").alias("digest")))
     ids = F.concat_ws(":", "course_id", "cmid", "part")
-    return rows.select(ids.alias("doc_id"), *base[:3], T.clean_title("name").alias("title"), "kind", "text", "external_url", F.sha2(F.coalesce("text", "external_url"), 256).alias("content_hash"))
+    return rows.select(ids.alias("doc_id"), *base[:3], T.clean_title("name").alias("title"), "kind", "text", "external_url", F.col("digest").alias("content_hash"))
 
 
 def external_requests(docs: DataFrame) -> DataFrame:

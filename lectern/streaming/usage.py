@@ -23,10 +23,22 @@ def once_per_message(messages: DataFrame, late: str = "1 hour") -> DataFrame:
     return messages.withWatermark("ts", late).dropDuplicatesWithinWatermark(["conversation_id", "client_msg_id"])
 
 
-def run_available(stream: DataFrame, table: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """All that is there now, into a table in memory: for tests and small results."""
-    stream.writeStream.format("memory").queryName(table).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.table(table)
+def run_available(stream: DataFrame, path: str, key: list[str]) -> DataFrame:
+    """All that is there now, as the latest row of each ``key``: every micro-batch writes the rows that it changed as Parquet below ``path``.
+
+    Update mode, so a watermark bounds the state; nothing is held by the driver. A batch that runs
+    again overwrites its own folder.
+    """
+    spark = stream.sparkSession
+    schema = stream.schema
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+
+    stream.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(schema.add("batch", "long")).option("basePath", f"{path}/rows").parquet(f"{path}/rows")
+    values = [c for c in stream.columns if c not in key]
+    return rows.groupBy(*key).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(*key, "v.*")
 
 
 def each_batch(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, every: str = "30 seconds"):

@@ -6,7 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import chunking, embedding, events, jobs, scope, search, sync, tools, tree
+from lectern.operators import chunking, embedding, events, jobs, outbox, scope, search, store, sync, tools, tree
 from lectern.sources import connectors, formats
 
 
@@ -73,11 +73,15 @@ def test_chunks():
     assert all(set(b) <= {"a", "\n", " "} for b, _ in chunking.structural([(parts, None)]))
 
 
+def failing(_texts):
+    raise embedding.EmbeddingFailed
+
+
 def test_semantic_chunks():
     text = "Katze eins. Katze zwei. Hund eins. Hund zwei."
     embed = lambda s: [[1.0, 0.0] if "Katze" in x else [0.0, 1.0] for x in s]
     assert [b for b, _ in chunking.semantic([(text, 1)], embed, amount=60)] == ["Katze eins. Katze zwei.", "Hund eins. Hund zwei."]
-    assert chunking.semantic([(text, 1)], lambda s: 1 / 0) == chunking.structural([(text, 1)])
+    assert chunking.semantic([(text, 1)], failing) == chunking.structural([(text, 1)])
     assert [round(chunking.threshold([1, 2, 10], k, a), 3) for k, a in (("percentile", 90), ("standard_deviation", 1), ("interquartile", 1), ("gradient", 0))] == [8.4, round(13 / 3 + (((1 - 13 / 3) ** 2 + (2 - 13 / 3) ** 2 + (10 - 13 / 3) ** 2) / 3) ** 0.5, 3), 19, 4.5]
 
 
@@ -128,10 +132,17 @@ def test_burst_ignores_refused(spark):
     assert got == [True, True, False, True, False, True]
 
 
-def test_names_and_paths():
+def test_names_and_paths(spark):
     assert tree.settle_names(["a", "a", "a (2)", "a"]) == ["a", "a (2)", "a (2) (2)", "a (3)"]
-    assert tree.match_name(["Netze", "Woche 1"], "netze") == ("Netze", []) and tree.match_name(["Woche 1", "Netze"], "Wo")[0] == "Woche 1"
-    assert tree.match_name(["Einführung"], "Einfuhrung")[0] == "Einführung" and tree.match_name(["a", "b"], "zzzz") == (None, ["a", "b"])
+    assert tree.similar_name(["Einführung"], "Einfuhrung")[0] == "Einführung" and tree.similar_name(["a", "b"], "zzzz") == (None, ["a", "b"])
+    names = spark.createDataFrame([("x", i, n) for i, n in enumerate(["a", "a", "a (2)", "a"])] + [("y", 9, "a"), ("y", 8, "a")], "p string, i int, n string")
+    got = {(r.p, r.i): r.o for r in tree.unique_names(names, ["p"], "n", ["i"], "o").collect()}
+    assert got == {("x", 0): "a", ("x", 1): "a (2)", ("x", 2): "a (2) (2)", ("x", 3): "a (3)", ("y", 8): "a", ("y", 9): "a (2)"}
+    assert tree.unique_names(names.where("p = 'y'"), [], "n", ["i"], "o").count() == 2
+    paths = spark.createDataFrame([("/Netze/Woche 1/a",), ("/Netze/Einführung/b",), ("/Node/c",)], "path string")
+    assert tree.resolve(paths, "netze/wo") == "/Netze/Woche 1" and tree.resolve(paths, "/Netz/Einfuhrung") == "/Netze/Einführung"
+    with pytest.raises(LookupError):
+        tree.resolve(paths, "/N")
 
 
 def test_tree_fallbacks(spark):
@@ -200,5 +211,77 @@ def test_embedding_cache(spark):
     cache = spark.createDataFrame([], "lookup string, key string, vector array<float>")
     rows, grown = embedding.embed_cached(texts, cache, embedding.hash_embedder(8), "k")
     assert grown.count() == 2 and all(abs(sum(x * x for x in r.vector) - 1) < 1e-5 for r in rows.collect())
-    bad, _ = embedding.embed_cached(texts, cache, lambda t: 1 / 0, "k")
+    bad, _ = embedding.embed_cached(texts, cache, failing, "k")
     assert all(r.vector is None for r in bad.collect())
+
+
+def test_occurrences_overlap_and_prefixes(spark):
+    texts = ["the the the", "Of the, of THE of", "", None, "ofthe of  the\nof then", "Straße über über", "...of the..."]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    line = search.token_line("t")
+    n = lambda *a: [r[0] for r in df.orderBy("i").select(search.occurrences(line, *a)).collect()]
+    assert n(["the", "the"], False) == [2, 0, 0, 0, 0, 0, 0] and n(["of", "the"], False) == [0, 2, 0, 0, 1, 0, 1]
+    assert n(["of", "the"], True) == [0, 2, 0, 0, 2, 0, 1] and n(["uber"], False) == [0, 0, 0, 0, 0, 2, 0]
+    lengths = [r[0] for r in df.orderBy("i").select(F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) - 1).collect()]
+    assert lengths == [r[0] for r in df.orderBy("i").select(F.size(search.T.index_tokens("t"))).collect()]
+
+
+def test_phrase_plan_splits_no_text_twice(spark, world):
+    plan = search.bm25(world, "of the", "phrase")._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan
+    body = plan[: plan.index("scalar-subquery") if "scalar-subquery" in plan else None]
+    assert body.count("regexp_replace(") <= 2
+
+
+def test_index_gives_what_the_scan_gives(spark, world, tmp_path):
+    search.write_index(world, f"file://{tmp_path}/index")
+    for query, mode in (("netze domanen", "any"), ("netze netz", "all"), ("netz aus netzen", "phrase"), ("802.1Q", "any"), ("ne", "any"), ("nosuchword", "any"), ("", "any")):
+        want = {(r.doc_id, r.score) for r in search.bm25(world, query, mode).collect()}
+        assert {(r.doc_id, r.score) for r in search.indexed_bm25(spark, f"file://{tmp_path}/index", query, mode).collect()} == want
+    scoped = search.indexed_bm25(spark, f"file://{tmp_path}/index", "netze", scope=world.where("doc_id = 1"))
+    assert ids(scoped) == [1]
+    plan = search.indexed_bm25(spark, f"file://{tmp_path}/index", "netz aus", "phrase")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "PushedFilters: [IsNotNull(term), EqualTo(term" in plan
+
+
+def test_matches_keep_their_places(spark):
+    rows = [(1, "aXbXXc" * 3), (2, "no"), (3, "Xx " * 50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    import re
+
+    got = [(r.doc_id, r.n, r.start, r.match) for r in search.regex_matches(df, "X+", most=None).orderBy("doc_id", "n").collect()]
+    assert got == [(d, n, m.start(), m.group()) for d, t in rows for n, m in enumerate(re.finditer("X+", t))]
+    assert [(r.doc_id, r.n, r.around) for r in search.regex_matches(df, "X+", context=1, most=4).collect()] == [(1, 0, "aXb"), (1, 1, "bXXc"), (1, 2, "aXb"), (1, 3, "bXXc")]
+
+
+def test_updates_of_the_store(spark, tmp_path):
+    sites_ = spark.createDataFrame([("a", 1, None)], "site_id string, created_at int, last_seen int")
+    assert store.touch_sites(sites_, spark.createDataFrame([("a", 5), ("a", 3)], "site_id string, ts int")).first().last_seen == 5
+    assert store.add_sites(sites_, spark.createDataFrame([("b", 2, None)], sites_.schema)).count() == 2
+    with pytest.raises(Exception, match="registered"):
+        store.add_sites(sites_, sites_).collect()
+    runs = spark.createDataFrame([("a", "full", "open", 100_000)], "site_id string, mode string, state string, last_activity int")
+    assert store.open_full_sync(runs, "a", 150_000) and not store.open_full_sync(runs, "a", 190_000) and not store.open_full_sync(runs, "b", 150_000)
+    path = f"file://{tmp_path}/usage"
+    for _ in range(2):
+        store.append(runs, path)
+    assert spark.read.parquet(path).count() == 2
+    images = spark.createDataFrame([(1, bytearray(b"x")), (2, bytearray(b"y"))], "doc_id int, content binary")
+    known, lost = store.ocr_split(images, spark.createDataFrame([("2d711642b726b04401627ca9fbac32f5c8530fb1903cc4db02258717921a4881:m", "text")], "key string, text string"), "m")
+    assert [r.doc_id for r in known.collect()] == [1] and [r.doc_id for r in lost.collect()] == [2]
+    assert sorted(r[0] for r in spark.createDataFrame([("student",), ("x",)], "r string").select(store.labelled(F.col("r"), store.ROLES)).collect()) == ["Teilnehmer/in", "x"]
+    assert outbox.counts(spark.createDataFrame([(0,), (3,), (12,)], "attempts int")).first() == (2, 1, 1)
+
+
+def test_requests(spark, tmp_path):
+    doc = '{"doc_id": "1:2:a", "kind": "inline", "text": "x"}'
+    for name, body in (("a", f"[{doc}, {doc}]"), ("b", '{"documents": [' + doc + "]}"), ("c", f"{doc}\n{doc}\n")):
+        (tmp_path / f"{name}.json").write_text(body)
+    assert [connectors.unwrapped(spark, f"file://{tmp_path}/{n}.json").where("doc_id = '1:2:a'").count() for n in "abc"] == [2, 1, 2]
+    rows = spark.range(501)
+    assert connectors.bounded_request(rows.limit(500)).count() == 500
+    with pytest.raises(ValueError):
+        connectors.bounded_request(rows)
+    mods = spark.createDataFrame([(1, 2, "folder", "F", "", None, None, None)], "course_id int, cmid int, modname string, name string, intro string, content string, url string, chapters array<string>")
+    files = spark.createDataFrame([(2, "/a/", "h", "b.pdf")], "cmid int, path string, sha256 string, filename string")
+    assert [(r.doc_id, r.content_hash, r.kind) for r in connectors.modules_to_documents(mods, files).collect()] == [("1:2:file:/a/b.pdf", "h", "file")]

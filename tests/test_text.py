@@ -75,17 +75,28 @@ def test_google_export(spark):
     assert one(spark, "https://docs.google.com/document/d//edit", U.google_export) is None
 
 
-def test_moments():
+def test_moments(spark):
     now = datetime(2026, 11, 10, 9, 30, tzinfo=ZoneInfo("Europe/Berlin"))
-    day = datetime(2026, 11, 10, tzinfo=now.tzinfo)
-    assert M.parse_moment("heute", now) == int(day.timestamp())
-    assert M.parse_moment("-7d", now) == int(datetime(2026, 11, 3, tzinfo=now.tzinfo).timestamp())
-    assert M.parse_moment("-2h", now) == int(now.timestamp()) - 7200
-    assert M.parse_moment("2026-11-10", now, end_of_day=True) == int(day.timestamp()) + 86399
-    assert M.parse_moment("2026-11-10T10:00", now) == int(day.timestamp()) + 36000
-    assert M.parse_moment(" ", now) is None
-    with pytest.raises(ValueError):
-        M.parse_moment("soon", now)
+    day = int(datetime(2026, 11, 10, tzinfo=now.tzinfo).timestamp())
+    at = int(now.timestamp())
+    words = {
+        "heute": (day, day + 86399), "Tomorrow": (day + 86400, day + 2 * 86400 - 1), "-7d": (day - 7 * 86400, day - 6 * 86400 - 1), "+ 2 w": (day + 14 * 86400, day + 15 * 86400 - 1),
+        "-2h": (at - 7200, at - 7200), "2026-11-10": (day, day + 86399), "20261110": (day, day + 86399), "2026-11-10T10:00": (day + 36000,) * 2, "2026-11-10T10:00:05Z": (day + 36005 + 3600,) * 2,
+        "-1m": (int(datetime(2026, 10, 11, tzinfo=now.tzinfo).timestamp()), int(datetime(2026, 10, 12, tzinfo=now.tzinfo).timestamp()) - 1), " ": (None, None), None: (None, None),
+    }
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    got = {r.w: (r.lo, r.hi) for r in df.select("w", M.moment(F.col("w"), F.lit(at), "Europe/Berlin").alias("lo"), M.moment(F.col("w"), F.lit(at), "Europe/Berlin", True).alias("hi")).collect()}
+    assert got == words
+    with pytest.raises(Exception, match="not a date"):
+        spark.createDataFrame([("soon",)], "w string").select(M.moment(F.col("w"), F.lit(at))).collect()
+
+
+def test_entities(spark):
+    import html
+
+    texts = ["a &amp; b", "&auml;&ouml;&hearts;&nosuch; &#233;&#xE9;&#x1F600;", "&amp;lt;", "no", "", "&", "a&b;c&", "&lt;p&gt;&quot;&nbsp;x"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r.t: r.u for r in df.select("t", T.unescape("t").alias("u")).collect()} == {t: html.unescape(t) for t in texts}
 
 
 def test_windows_follow_clock_changes(spark):
