@@ -2,76 +2,40 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where that is unset (tests, one machine) is a temporary folder made, once a session.
-    """
-    told = spark.conf.get("spark.checkpoint.dir", None)
-    if told:
-        return told.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="lectern-")
-    return _own_dirs[app]
-
+from lectern.plans import shipping
+from lectern.plans.storage import scratch
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/lectern-{name}-{uuid.uuid4().hex}"
+#: Spark deletes a query's shuffle files at its end where this is set, instead of when the driver happens to collect garbage.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again.
 
-    This cuts the lineage, survives lost executors, and fixes what is not deterministic.
+    This cuts the lineage, survives lost executors, and fixes what is not deterministic. The shuffle
+    files of the writing go with it, and the table when the application's folder does.
     """
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    df.sparkSession.sparkContext._jvm.System.gc()  # so that Spark deletes the shuffle files that this no longer needs
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def forget(spark: SparkSession, path: str) -> None:
-    """Delete a path in the shared folder."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    spark = df.sparkSession
+    path, told = scratch(spark, name), spark.conf.get(_CLEAN)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, told)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-_shipped: set[str] = set()
 #: Bytes in one Arrow batch, so that batches of long texts stay small.
 ARROW_BYTES = "16m"
 
 
 def ship(spark: SparkSession) -> None:
-    """Make Python tasks possible: small Arrow batches, and this package on the executors.
-
-    The package is sent unless the ``PYTHONPATH`` has it.
-    """
+    """Make Python tasks possible: small Arrow batches, and this package on the executors."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
-    root = Path(__file__).resolve().parents[2]
-    app = spark.sparkContext.applicationId
-    if app in _shipped or str(root) in os.environ.get("PYTHONPATH", "").split(":"):
-        return
-    out = Path(tempfile.mkdtemp(prefix="lectern-code-")) / "lectern.zip"
-    with zipfile.ZipFile(out, "w") as z:
-        for p in sorted((root / "lectern").rglob("*.py")):
-            z.write(p, p.relative_to(root))
-    spark.sparkContext.addPyFile(str(out))
-    _shipped.add(app)
+    shipping.ship(spark)
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:

@@ -3,30 +3,32 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import pick
+from lectern.llm.common import pick, stored
 
-#: Texts of each class in the sample, and characters of the longest text that is used.
-PER_CLASS, LONGEST = 3000, 20_000
+#: Rows of each class in the sample, and bytes of their texts together.
+PER_CLASS, BYTES = 3000, 48 << 20
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int = PER_CLASS, longest: int = LONGEST) -> tuple[pa.Table, dict[int, int]]:
+def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int = PER_CLASS, most_bytes: int = BYTES) -> tuple[pa.Table, dict[int, int]]:
     """(doc_id, text, y of the sample; rows of each class among all labels that may be learnt from).
 
-    ``learn`` is a condition on doc_id. Of each class the rows with the smallest hash of doc_id are
-    taken, so at most 2 * per_class * longest characters reach the driver. Labels other than 0 and
-    1, null ids and texts are left out.
+    ``learn`` is a condition on doc_id. Of each class the ``per_class`` rows with the smallest hash of
+    doc_id are taken, and of these as many, in that order, as have ``most_bytes`` of text together, so
+    twice that reaches the driver. Labels other than 0 and 1, null ids and texts are left out.
     """
     known = pick(labels, "doc_id", label).select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & learn)
     prior = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     ids = None
     for y in (0, 1):
-        # A few too many, as texts may be too long or missing.
         own = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         ids = own if ids is None else ids.unionAll(own)
-    texts = pick(docs, "doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= longest))
-    # At most 2 * per_class rows of two numbers: a proven bound.
+    texts = pick(docs, "doc_id", "text").where(F.col("text").isNotNull())
+    # At most 2 * per_class rows of two numbers: a proven bound, also for those of the window and the second join.
+    sizes = texts.select("doc_id", F.octet_length("text").cast("long").alias("bytes")).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.sum("bytes").alias("bytes"))
+    before = F.sum("bytes").over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    ids = stored(sizes.withColumn("before", before).where(F.col("before") <= most_bytes).select("doc_id", "y"), "sample")
     got = texts.join(F.broadcast(ids), "doc_id").toArrow()
     return got.sort_by([("doc_id", "ascending")]), prior

@@ -57,7 +57,7 @@ def targets(sized: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tup
 
 
 #: The fields of one fraction: its document, words, fraction p, and what else belongs to it.
-_ITEM = ("row", "doc_id", "size", "p")
+_ITEM = ("row", "doc_id", "size", "tie", "p")
 
 
 def _fold(items: Column, level: int, seed: int) -> Column:
@@ -71,7 +71,7 @@ def _fold(items: Column, level: int, seed: int) -> Column:
         wa, wb = a["size"] * a["p"], e["size"] * e["p"]  # words that each holds
         ra, rb = a["size"] * (1 - a["p"]), e["size"] * (1 - e["p"])  # and that each has room for
         to_a, to_e = F.least(ra, wb), F.least(rb, wa)
-        u = uniform(F.lit(seed), F.lit(level), a["doc_id"], e["doc_id"], a["size"], e["size"])
+        u = uniform(F.lit(seed), F.lit(level), a["doc_id"], e["doc_id"], a["size"], e["size"], a["tie"], e["tie"])
         gain = u * (to_a + to_e) < to_e
         pa = F.when(gain, F.when(ra <= wb, 1.0).otherwise((wa + to_a) / a["size"])).otherwise(F.when(wa <= rb, 0.0).otherwise((wa - to_e) / a["size"]))
         pe = F.when(gain, F.when(wb <= ra, 0.0).otherwise((wb - to_a) / e["size"])).otherwise(F.when(rb <= wa, 1.0).otherwise((wb + to_e) / e["size"]))
@@ -84,38 +84,43 @@ def _fold(items: Column, level: int, seed: int) -> Column:
         )
         return F.when(a.isNull(), F.struct(item(e, e["p"]).alias("left"), acc["done"].alias("done"))).otherwise(met)
 
-    kind = "struct<row: bigint, doc_id: bigint, size: bigint, p: double>"
+    kind = "struct<row: bigint, doc_id: bigint, size: bigint, tie: bigint, p: double>"
     start = F.struct(F.lit(None).cast(kind).alias("left"), F.array().cast(f"array<{kind}>").alias("done"))
     return F.aggregate(items, start, meet)
 
 
 def rounded(fractions: DataFrame, most: int, seed: int = 0) -> DataFrame:
-    """row, p (0 or 1) of each of ``fractions`` (source, docs, row, doc_id, size > 0, 0 < p < 1).
+    """row, p (0 or 1) of each of ``fractions`` (source, docs, row, doc_id, size > 0, tie, 0 < p < 1).
 
     ``most`` is the number of fractions of the largest source.
     """
     done, at, level = [], fractions.select("source", F.col("docs").alias("left_over"), *_ITEM), 0
     while most > 1 or level == 0:
         groups = F.ceil(F.col("left_over") / FAN).cast("long")
-        dealt = at.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), F.lit(level), "doc_id", "size"), groups))
-        met = dealt.groupBy("source", "group", groups.alias("left_over")).agg(F.sort_array(F.collect_list(F.struct("size", "doc_id", "row", "p")), asc=False).alias("items"))
+        dealt = at.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), F.lit(level), "doc_id", "size", "tie"), groups))
+        met = dealt.groupBy("source", "group", groups.alias("left_over")).agg(F.sort_array(F.collect_list(F.struct("size", "doc_id", "row", "tie", "p")), asc=False).alias("items"))
         met = stored(met.select("source", "left_over", _fold(F.col("items"), level, seed).alias("x")), "met")
         done.append(met.select(F.explode("x.done").alias("e")).select("e.row", "e.p"))
         at = met.where("x.left IS NOT NULL").select("source", "left_over", "x.left.*")
         most, level = -(-most // FAN), level + 1
-    last = uniform(F.lit(seed), F.lit(-1), F.col("doc_id")) < F.col("p")
+    last = uniform(F.lit(seed), F.lit(-1), F.col("doc_id"), F.col("tie")) < F.col("p")
     return reduce(DataFrame.unionAll, [*done, at.select("row", last.cast("double"))])
 
 
+def _with_ties(sized: DataFrame) -> DataFrame:
+    """``sized`` with tie: 0, but for rows that share a doc_id their place, so that these are dealt like others."""
+    again = sized.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again"), F.lit(True).alias("shared"))
+    return sized.join(again, F.col("doc_id").eqNullSafe(F.col("again")), "left").withColumn("tie", F.when(F.col("shared"), F.col("row")).otherwise(F.lit(0))).drop("again", "shared")
+
+
 def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[float, ...] = WEIGHTS, seed: int = 0) -> DataFrame:
     """One row per row of ``docs``: row, doc_id, source, size, source_size, target, copies, taken.
 
     taken is copies times size. Null and empty texts have no words and take none; a null source is
-    one of its own; repeated rows are drawn each (those of one doc_id share a group); a null doc_id
-    draws like any other; an empty table gives no rows; other columns are not read. ``row`` is the
+    one of its own; repeated rows, and others that share a doc_id or have none, are drawn each, by their place; an empty table gives no rows; other columns are not read. ``row`` is the
     place in ``docs``, which should be a table that reads the same again.
     """
-    sized = stored(sizes(docs).withColumn("doc_id", F.col("doc_id").cast("long")), "sizes")
+    sized = stored(_with_ties(stored(sizes(docs).withColumn("doc_id", F.col("doc_id").cast("long")), "sizes")), "ties")
     per = stored(targets(sized, share, cap, weights), "targets")
     count, most = per.agg(F.count("*"), F.max("docs")).first()
     small = F.broadcast(per) if count <= BROADCAST_ROWS else per
@@ -130,7 +135,11 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[fl
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with each row as often as ``mix`` takes it; rows without words stay as they are."""
+    """``docs`` with each row as often as ``mix`` takes it; rows without words stay as they are.
+
+    Null and empty texts have no words; repeated rows are drawn each; an empty table gives no rows; all
+    columns stay, whatever their names. ``docs`` should be a table that reads the same again.
+    """
     times = mix(docs, **how).select(F.col("row").alias("of"), F.when(F.col("size") > 0, F.col("copies")).otherwise(1).cast("int").alias("times")).where("times > 0")
     names = docs.columns
     rows = docs.toDF(*(f"c{i}" for i in range(len(names)))).withColumn("row", F.monotonically_increasing_id())

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import pick, ship
-from lectern.llm.labelled import LONGEST, PER_CLASS, sample
+from lectern.llm.labelled import BYTES, PER_CLASS, sample
 
 CUT = 0.3
 PAIRS, RIDGE, STEPS = 30_000, 1e-3, 12
@@ -153,8 +153,8 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     return pick(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
 
 
-def trained(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", per_class: int = PER_CLASS, longest: int = LONGEST) -> Model:
+def trained(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", per_class: int = PER_CLASS, most_bytes: int = BYTES) -> Model:
     """A model of ``label`` from a bounded sample of labelled documents for whose doc_id ``learn`` holds."""
-    got, prior = sample(docs, labels, label, learn, per_class, longest)
+    got, prior = sample(docs, labels, label, learn, per_class, most_bytes)
     x = measure(got["text"].to_pylist(), Memory()) if len(got) else np.zeros((0, len(FEATURES)))
     return fit(x, np.array(got["y"].to_pylist(), int), prior.get(0, 0) / max(1, sum(prior.values())))

@@ -68,16 +68,21 @@ def fingerprint(text: str, shingle: int = 3) -> int:
     return _simhash(hashes(text, shingle))
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """row (the place in ``docs``), doc_id and text."""
+    return pick(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id and fp (a long with the fingerprint's bits) of every row."""
+    """row, doc_id and fp (a long with the fingerprint's bits) of every row."""
     ship(docs.sparkSession)
 
     def run(arrived):
         for b in arrived:
             fps = np.array([fingerprint(x or "", shingle) for x in b.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), pa.array(fps)], ["row", "doc_id", "fp"])
 
-    return pick(docs, "doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    return _numbered(docs).mapInArrow(run, f"row long, doc_id {pick(docs, 'doc_id').schema[0].dataType.simpleString()}, fp long")
 
 
 @cache
@@ -98,7 +103,7 @@ def bands(h: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, fp, text (its XXH64), n (distinct shingles) and bands of every row."""
+    """row, doc_id, fp, text (its XXH64), n (distinct shingles) and bands of every row."""
     ship(docs.sparkSession)
 
     def run(arrived):
@@ -112,9 +117,9 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
                 h = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
                 fp.append(_simhash(parts)), text.append(xxh64_intdigest(x.encode(), SEED)), n.append(len(h)), keys.append(bands(h))
             longs = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in (fp, text, n)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *longs, pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "fp", "text", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("doc_id"), *longs, pa.array(keys, pa.list_(pa.int64()))], ["row", "doc_id", "fp", "text", "n", "bands"])
 
-    return pick(docs, "doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long, text long, n long, bands array<long>")
+    return _numbered(docs).mapInArrow(run, f"row long, doc_id {pick(docs, 'doc_id').schema[0].dataType.simpleString()}, fp long, text long, n long, bands array<long>")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, shingle: int, similar: float, name: str) -> DataFrame:
@@ -299,6 +304,15 @@ def linked(fps: DataFrame) -> DataFrame:
     return edges.where("a <> b") if over.isEmpty() else edges.where("a <> b").unionAll(stored(_balls(over), "balls"))
 
 
+def _linked(docs: DataFrame, shingle: int, similar: float | None) -> tuple[DataFrame, DataFrame]:
+    """Stored fingerprints (row, doc_id, fp) of all rows, and (fp, root) of those that link with others."""
+    fps = stored(sketches(docs, shingle) if similar else fingerprints(docs, shingle), "fingerprints")
+    edges = linked(fps.select("fp").distinct())
+    if similar:
+        edges = similar_links(docs, fps, edges, shingle, similar)
+    return fps.select("row", "doc_id", "fp"), components(edges).withColumnRenamed("node", "fp")
+
+
 def near_groups(docs: DataFrame, shingle: int = 3, similar: float | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, fp and component_id, the smallest doc_id that links reach.
 
@@ -308,22 +322,24 @@ def near_groups(docs: DataFrame, shingle: int = 3, similar: float | None = None)
     of them as one. Repeated rows share a fingerprint. A null doc_id is never the smallest unless
     its component has no other. An empty table gives no rows; other columns are not read.
     """
-    fps = stored(sketches(docs, shingle) if similar else fingerprints(docs, shingle), "fingerprints")
-    own = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    edges = linked(own.select("fp"))
-    if similar:
-        edges = similar_links(docs, fps, edges, shingle, similar)
-    roots = components(edges).withColumnRenamed("node", "fp")
-    least = own.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    fps, roots = _linked(docs, shingle, similar)
+    least = fps.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     of_root = least.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = stored(least.join(of_root, "root").select("fp", "component_id"), "classes")
     return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
 def near_dedup(docs: DataFrame, shingle: int = 3, similar: float | None = None) -> DataFrame:
-    """The rows of ``docs`` that stay: of each group the one with the smallest doc_id; rows that share it too, once."""
-    groups = stored(near_groups(docs, shingle, similar).select("doc_id", "component_id"), "groups")
-    ids = groups.where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("rows"))
-    repeated = not ids.where("rows > 1").isEmpty()
-    kept = docs.join(ids.select("kept_id"), docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    """The rows of ``docs`` that stay: of each group one, that with the smallest doc_id, of several such rows the first.
+
+    Groups are those of ``near_groups``: repeated rows are one group, rows that only share a doc_id are
+    not. A row without a doc_id stays if its group has no other. Null and empty texts are one group. An
+    empty table gives no rows; all columns stay, whatever their names. ``docs`` should be a table that
+    reads the same again.
+    """
+    fps, roots = _linked(docs, shingle, similar)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    least = fps.groupBy("fp").agg(first).join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    kept = stored(least.select(F.col("first.row").alias("kept_row")), "kept")
+    rows = docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).withColumn("row", F.monotonically_increasing_id())
+    return rows.join(kept, F.col("row") == F.col("kept_row"), "left_semi").drop("row").toDF(*docs.columns)

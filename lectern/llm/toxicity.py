@@ -10,6 +10,8 @@ chance that its three likeliest tokens are all harmless) and the offsets of offe
 
 from __future__ import annotations
 
+import math
+import random
 import re
 from collections import Counter
 from dataclasses import dataclass, field
@@ -20,15 +22,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import pick, ship
-from lectern.llm.labelled import LONGEST, PER_CLASS, sample
+from lectern.llm.labelled import BYTES, PER_CLASS, sample
 
-#: Tokens of the longest chain; longer sentences are cut.
-CHAIN = 128
+#: Chains that are carried on one by one where no more are as long.
+FEW = 8
 #: Words that a Python worker remembers before it starts anew.
 REMEMBERED = 400_000
 #: Toxic documents of the sample that a word or beginning must be in, and how much more frequent it must be there.
 #: Its likelihood ratio must also be one that chance gives to less than ``CHANCE`` of all candidates together.
 LEAST_DOCS, LEAST_ODDS, CHANCE = 3, 8.0, 0.1
+#: Unlabelled chains of each class that are kept to choose from while fitting.
+SPARE = 20_000
 ROUNDS, RATE, RIDGE = 80, 0.3, 1e-4
 _STRIP = " \t\r\n.,;:!?\"'()[]{}<>*_-+=/\\|#$%&@~^`«»„“”‘’…¡¿"
 
@@ -69,25 +73,26 @@ class Memory(dict):
 
 
 def chains(ends: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, lengths) of chains: sentences within documents (tokens of each), cut at ``CHAIN`` tokens."""
+    """(starts, lengths) of chains: sentences within documents (tokens of each)."""
     last = ends.copy()
     last[np.cumsum(docs)[docs > 0] - 1] = True
     stop = np.flatnonzero(last) + 1
     start = np.concatenate([[0], stop[:-1]]).astype(np.int64)
-    n = stop - start
-    parts = -(-n // CHAIN)
-    nth = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
-    start, n = np.repeat(start, parts) + nth * CHAIN, np.repeat(n, parts) - nth * CHAIN
-    return start, np.minimum(n, CHAIN)
+    return start, stop - start
 
 
 def marginals(e: np.ndarray, start: np.ndarray, n: np.ndarray, trans) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Log-odds of the toxic state for each token given its whole chain, and its forward and backward parts."""
+    """Log-odds of the toxic state for each token given its whole chain, and its forward and backward parts.
+
+    All chains go one token at a time together; the last few, which are much longer, each on its own.
+    """
     a = np.exp(np.asarray(trans, float))
     order = np.argsort(-n, kind="stable")
     start, n = start[order], n[order]
     forward, backward = np.empty(len(e)), np.zeros(len(e))
-    active = np.searchsorted(-n, -np.arange(n[0] if len(n) else 0), "left")  # chains with more than t tokens
+    # Tokens that more than FEW chains have.
+    together = int(n[FEW]) if len(n) > FEW else 0
+    active = np.searchsorted(-n, -np.arange(together), "left")  # chains with more than t tokens
     r = np.zeros(0)
     for t, k in enumerate(active.tolist()):
         at = start[:k] + t
@@ -97,8 +102,22 @@ def marginals(e: np.ndarray, start: np.ndarray, n: np.ndarray, trans) -> tuple[n
             x = np.exp(np.minimum(r[:k], 500))
             r = e[at] + np.log((a[1] + a[3] * x) / (a[0] + a[2] * x))
         forward[at] = r
+    a0, a1, a2, a3 = a.tolist()
     b = np.zeros(len(n))
-    for t in range(len(active) - 2, -1, -1):
+    for i in range(int(np.searchsorted(-n, -together, "left"))):
+        first, own = int(start[i]), e[start[i] : start[i] + n[i]].tolist()
+        out = [forward[first + together - 1]] if together else [own[0]]
+        for v in own[together or 1 :]:
+            x = math.exp(min(out[-1], 500))
+            out.append(v + math.log((a1 + a3 * x) / (a0 + a2 * x)))
+        forward[first + max(together - 1, 0) : first + n[i]] = out
+        back = [0.0]
+        for v in own[: max(together, 1) - 1 : -1]:
+            x = math.exp(min(v + back[-1], 500))
+            back.append(math.log((a2 + a3 * x) / (a0 + a1 * x)))
+        backward[first + max(together, 1) - 1 : first + n[i]] = back[::-1]
+        b[i] = back[-1]
+    for t in range(together - 2, -1, -1):
         k = int(active[t + 1])
         at = start[:k] + t
         x = np.exp(np.minimum(e[at + 1] + b[:k], 500))
@@ -134,8 +153,8 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     found = {f: (k, at[0][f]) for f, k in at[1].items() if k >= LEAST_DOCS}
     least = 2 * np.log(max(1, len(found)) / CHANCE)
     number = {f: i for i, f in enumerate(sorted(f for f, (k, other) in found.items() if (k + 0.1) / total[1] >= LEAST_ODDS * (other + 0.1) / total[0] and _ratio(k, other, *total) >= least))}
-    # Chains with a labelled token, and as many from each class that have none.
-    seen, labels, spare = [], [], ([], [])
+    # Chains with a labelled token, and a random sample from each class of those that have none.
+    seen, labels, spare, passed, rng = [], [], ([], []), [0, 0], random.Random(0)
     for x, y in zip(texts, toxic, strict=True):
         tokens = x.split()
         if not tokens:
@@ -146,8 +165,13 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
             marked = [bool(y and f) for f in own]
             if any(marked):
                 seen.append(own), labels.append(marked)
-            elif len(spare[y]) < 20_000:
+            elif len(spare[y]) < SPARE:
                 spare[y].append(own)
+                passed[y] += 1
+            else:
+                passed[y] += 1
+                if (at_ := rng.randrange(passed[y])) < SPARE:
+                    spare[y][at_] = own
     for y in (0, 1):
         hard = [c for c in spare[y] if any(c)]
         more = hard + [c for c in spare[y] if not any(c)][: max(1000, len(seen))]
@@ -230,9 +254,9 @@ def tagged(docs: DataFrame, model: Model) -> DataFrame:
     return pick(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double, spans array<struct<start:int,end:int>>")
 
 
-def trained(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", per_class: int = PER_CLASS, longest: int = LONGEST) -> Model:
+def trained(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", per_class: int = PER_CLASS, most_bytes: int = BYTES) -> Model:
     """A model of ``label`` from a bounded sample of labelled documents for whose doc_id ``learn`` holds."""
-    got, _ = sample(docs, labels, label, learn, per_class, longest)
+    got, _ = sample(docs, labels, label, learn, per_class, most_bytes)
     return fit(got["text"].to_pylist(), got["y"].to_pylist())
 
 

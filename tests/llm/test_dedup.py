@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from lectern.llm import components, exact_dedup, golay, line_dedup, simhash_dedup
@@ -243,6 +244,30 @@ def brute_lines(rows):
     return ["\n".join(x for p, x in enumerate(t.split("\n")) if not norm(x) or (i, p) in stay) if t is not None else None for i, t in enumerate(rows)]
 
 
+def test_near_dedup_keeps_rows_not_ids(spark, edge, empty):
+    """Unrelated texts without an id, or with one id, all stay; clashing names do no harm."""
+    texts = ["the first of several texts that have nothing in common", "winter came early and snow lay on all roads for weeks", "a recipe calls for flour butter sugar and four eggs", "ships left the harbour before noon in heavy fog", "prime numbers have no divisors but one and themselves", "her violin was made in a small town near the border"]
+    rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[4]), (9, texts[5]), (7, texts[2]), (3, texts[4]), (None, texts[5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("kept_id", F.lit("x")).withColumn("row", F.lit("y"))
+    docs = docs.toDF("doc_id", "text", "DOC_ID", "row")
+    for similar in (None, 0.8):
+        got = simhash_dedup.near_dedup(docs, 3, similar)
+        assert got.columns == docs.columns
+        assert sorted(((r[0], r[1]) for r in got.collect()), key=str) == sorted([(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (3, texts[4]), (9, texts[5])], key=str)
+        assert simhash_dedup.near_dedup(empty, 3, similar).count() == 0
+        left = simhash_dedup.near_dedup(edge, 3, similar)
+        assert left.columns == edge.columns and left.count() == len({r.fp for r in simhash_dedup.near_groups(edge).collect()})
+
+
+def test_names_do_not_rest_on_digests(spark, monkeypatch):
+    """Where all blocks share a digest, the blocks themselves are ranked."""
+    texts = [f"text {i % 7} " * (1 + i % 3) for i in range(60)] + ["x" * 9000, "x" * 9000, "x" * 8999 + "y"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(exact_dedup, "_digest", lambda keys: F.lit(5).cast("long"))
+    got = {r.doc_id: r.keep_id for r in exact_dedup.exact_dedup(docs).collect()}
+    assert got == {i: max(j for j, u in enumerate(texts) if u == t) for i, t in enumerate(texts)}
+
+
 def test_lines(spark, tiny):
     rng = random.Random(4)
     line = "the members of the committee agreed on a plan for the coming year and published all of the minutes of their meetings online"

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.llm import image_copies, images, mixing, quality, toxicity
 
@@ -35,7 +36,20 @@ def test_chains_cover_every_token_once():
     ends = np.random.default_rng(1).random(1000) < 0.02
     start, n = toxicity.chains(ends, np.array([300, 0, 699, 1]))
     assert sorted(i for s, k in zip(start, n, strict=True) for i in range(s, s + k)) == list(range(1000))
-    assert n.max() <= toxicity.CHAIN and {0, 300, 999} <= set(start.tolist())
+    assert {0, 300, 999} <= set(start.tolist())
+
+
+def test_long_chains_are_not_cut():
+    """The last, much longer chains go on by themselves, with the same result."""
+    rng = np.random.default_rng(3)
+    n = np.array([400, 3, 1000, *[20] * 30, 1, 300])
+    start = np.cumsum(n) - n
+    e, trans = rng.normal(0, 2, n.sum()), rng.normal(0, 1, 4)
+    got = toxicity.marginals(e, start, n, trans)
+    for s, k in zip(start, n, strict=True):
+        alone = toxicity.marginals(e[s : s + k], np.zeros(1, int), np.array([k]), trans)
+        assert all(np.allclose(g[s : s + k], a) for g, a in zip(got, alone, strict=True))
+    assert np.allclose(toxicity.marginals(e[403:412], np.zeros(1, int), np.array([9]), trans)[0], brute_marginals(e[403:412], trans))
 
 
 def corpus(n=600, seed=0):
@@ -152,8 +166,8 @@ def test_mixing(spark, tiny):
 
 
 def test_rounding_keeps_sums_and_expectations(spark):
-    rows = [("s", 2000, i, i, 1 + i % 7, 0.3) for i in range(2000)]
-    df = spark.createDataFrame(rows, "source string, docs long, row long, doc_id long, size long, p double")
+    rows = [("s", 2000, i, i, 1 + i % 7, 0, 0.3) for i in range(2000)]
+    df = spark.createDataFrame(rows, "source string, docs long, row long, doc_id long, size long, tie long, p double")
     mean = np.zeros(2000)
     for seed in range(3):
         got = {r.row: r.p for r in mixing.rounded(df, 2000, seed).collect()}
@@ -163,6 +177,16 @@ def test_rounding_keeps_sums_and_expectations(spark):
     assert abs(mean.mean() / 3 - 0.3) < 0.03
 
 
+def test_rows_of_one_id_are_spread(spark):
+    """100,000 rows of one doc_id and size do not meet in one group."""
+    rows = spark.range(100_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("one two three").alias("text"), F.lit("s").alias("source"))
+    rows = rows.unionAll(spark.range(1000).select(F.lit(None).cast("long"), F.lit("a b"), F.lit("t")))
+    got = mixing._with_ties(mixing.sizes(rows)).groupBy("source").agg(F.count_distinct("tie").alias("n")).collect()
+    assert {r.source: r.n for r in got} == {"s": 100_000, "t": 1000}
+    taken = {r.source: (r.taken, r.target) for r in mixing.mix(rows).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()}
+    assert all(abs(a - b) <= 3 for a, b in taken.values())
+
+
 def test_mixing_at_the_edge(edge, empty):
     rows = mixing.mix(edge).collect()
     assert len(rows) == 11 and all(r.taken == 0 for r in rows if r.size == 0) and all(r.taken <= 2 * r.size for r in rows)
@@ -198,6 +222,39 @@ def test_png_filters(kind):
     assert (images.decode(data) == x).all()
 
 
+def chunk(name, data):
+    import struct
+
+    return struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+
+
+@pytest.mark.parametrize("depth", [1, 2, 4, 8, 16])
+@pytest.mark.parametrize("laced", [0, 1])
+def test_png_depths_and_interlacing(depth, laced):
+    import struct
+
+    h, w = 13, 11
+    x = np.random.default_rng(depth).integers(0, 1 << min(depth, 8), (h, w))
+    raw = b""
+    for left, top, dx, dy in images.PASSES if laced else ((0, 0, 1, 1),):
+        for row in x[top::dy, left::dx]:
+            if len(row):
+                bits = "".join(f"{v:0{depth}b}" if depth < 16 else f"{v:08b}10101010" for v in row)
+                raw += b"\0" + bytes(int(bits[k : k + 8].ljust(8, "0"), 2) for k in range(0, len(bits), 8))
+    data = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, depth, 0, 0, 0, laced)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+    assert (images.decode(data) == x * (255 // ((1 << min(depth, 8)) - 1))).all()
+
+
+def test_strips_and_neighbours_make_no_difference(monkeypatch):
+    rows = lambda spots: sorted(spots.tolist())
+    pictures = [picture(60, 400, 200).astype(np.float32), picture(61, 88, 200).astype(np.float32), picture(62, 128, 200).astype(np.float32)[:121], None, picture(63, 96, 160).astype(np.float32)[:90]]
+    together = image_copies._spots(pictures)
+    alone = [image_copies._spots([p])[0] for p in pictures]
+    assert [rows(a) for a in together] == [rows(a) for a in alone] and len(alone[0]) > 50
+    monkeypatch.setattr(image_copies, "STRIP", 200 * 70)
+    assert rows(image_copies._spots([pictures[0]])[0]) == rows(alone[0])
+
+
 def picture(seed, h=160, w=160):
     rng = np.random.default_rng(seed)
     x = np.kron(rng.integers(0, 256, (h // 8, w // 8)), np.ones((8, 8)))
@@ -235,7 +292,7 @@ def spots_of(rows):
 
 
 def found_of(spark, images_):
-    rows = [(i, s.tobytes(), len(s), len(np.unique(s[["x", "y"]])), image_copies.sketch(s).tolist(), 99, 900 + i) for i, s in images_.items()]
+    rows = [(i, s.tobytes(), len(s), len(np.unique(s[["x", "y"]])), image_copies.sketch(s, len(s), (99, 900 + i)).tolist(), 99, 900 + i) for i, s in images_.items()]
     return spark.createDataFrame(rows, "id long, spots binary, n int, places int, entries array<long>, height int, width int")
 
 
@@ -342,10 +399,36 @@ def test_pipeline(spark, tiny, library_ids):
     mix = seen["mixing"]
     rows = c.packing(spark, docs, sf).collect()
     assert sum(r.length for r in rows) == sum(len(library_ids(r.text)) + 1 for r in mix)
-    by_seq = {}
+    times = {d: sum(r.doc_id == d for r in mix) for d in {r.doc_id for r in mix}}
+    count = {}
+    for r in rows:
+        key = (r.doc_id, r.piece, r.start, r.length, r.ids_crc32)
+        count[key] = count.get(key, 0) + 1
+    assert all(n == times[k[0]] for k, n in count.items())
+    ids = {r.doc_id: library_ids(r.text) for r in mix}
+    # Copies of a document get ids of their own, so that each is checked as one document.
+    apart, nth = [], {}
     for r in rows:
-        by_seq.setdefault(r.sequence_id, []).append((r.offset, r.length))
-    assert all(sum(n for _, n in v) <= 1024 for v in by_seq.values()) and check_packing
+        k = nth[r.doc_id, r.piece] = nth.get((r.doc_id, r.piece), -1) + 1
+        apart.append(r.__class__(*[(r.doc_id, k) if c == "doc_id" else r[c] for c in r.__fields__]))
+    for r in apart:
+        r.__fields__ = rows[0].__fields__
+    check_packing(apart, {(d, k): ids[d] for d in ids for k in range(times[d])})
+
+
+def test_pipeline_at_the_edge(spark, edge, empty):
+    """Every stage takes nulls, empty tables, repeated rows and clashing names, and returns the same columns."""
+    import corpus_pipeline as c
+    from lectern.llm.common import stored
+
+    for docs in (edge, empty):
+        names = docs.columns
+        at = stored(docs.toDF(*(f"c{i}" for i in range(len(names)))), "edge").toDF(*names)
+        for _, stage in c.STAGES[:-1]:
+            out = stage(spark, at, "/root/testdata/sf0.001")
+            assert out.columns == names
+            at = stored(out.toDF(*(f"c{i}" for i in range(len(names)))), "edge").toDF(*names)
+        assert c.packing(spark, at, "").count() >= (docs is edge)
 
 
 @pytest.fixture

@@ -58,7 +58,8 @@ def test_memory_of_pieces_is_bounded(library, monkeypatch):
     texts = [f"word{i} other{i % 7} " + "y" * (i % 90) for i in range(300)]
     got = [x.tolist() for k in range(0, 300, 20) for x in run(pa.array(texts[k : k + 20]))]
     assert got == library(texts)
-    assert len(run.known) <= 50 + 60 and all(len(w) <= encode.LONGEST for w in run.known)
+    assert len(run.memory.new) + len(run.memory.old) <= 2 * (50 + 60) and all(len(w) <= encode.LONGEST for w in {**run.memory.new, **run.memory.old})
+    assert run.count(pa.array(texts)).tolist() == [len(x) for x in got]
 
 
 def test_runs_are_balanced_by_bytes():
