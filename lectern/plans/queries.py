@@ -634,7 +634,19 @@ def scope_build(spark, sf_dir):
     return got.select("user_id", F.array_join("cmids", ",").alias("cmids"), F.array_join("roles", ",").alias("roles"))
 
 
-@query()
+_STRIP = "' ' || chr(10) || chr(9)"
+#: One step a chunk: rest is cut at the last paragraph, sentence or word of its first 1201 letters.
+_STRUCTURAL = f"""WITH RECURSIVE t AS (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[ \\t\\r\\f\\v]+', ' ', 'g'), '(?m)^ +| +$', '', 'g'), {_STRIP}) AS rest FROM documents),
+        s AS (SELECT doc_id, 0 AS ordinal, NULL::VARCHAR AS body, rest FROM t WHERE rest <> ''
+              UNION ALL SELECT doc_id, ordinal + 1, CASE WHEN short THEN rest ELSE head END, CASE WHEN short THEN '' ELSE trim(CASE WHEN length(head) <= 180 THEN head WHEN contains(right(head, 180), ' ') THEN substr(right(head, 180), strpos(right(head, 180), ' ') + 1) ELSE right(head, 180) END || ' ' || tail, {_STRIP}) END
+              FROM (SELECT *, trim(substr(rest, 1, cut), {_STRIP}) AS head, trim(substr(rest, cut + 1), {_STRIP}) AS tail
+                    FROM (SELECT *, CASE WHEN para > 400 THEN para WHEN sent > 400 THEN sent WHEN word > 400 THEN word WHEN strpos(substr(rest, 1201), ' ') > 0 THEN 1199 + strpos(substr(rest, 1201), ' ') ELSE length(rest) END AS cut
+                          FROM (SELECT *, length(rest) <= 1200 AS short, CASE WHEN strpos(rev, chr(10) || chr(10)) > 0 THEN length(rev) - strpos(rev, chr(10) || chr(10)) - 1 ELSE -1 END AS para, CASE WHEN regexp_matches(rev, '\\s[.!?:;]') THEN length(rev) - length(regexp_extract(rev, '(?s)^(.*?\\s+)[.!?:;]', 1)) ELSE -1 END AS sent, CASE WHEN strpos(rev, ' ') > 0 THEN length(rev) - strpos(rev, ' ') ELSE -1 END AS word
+                                FROM (SELECT *, reverse(substr(rest, 1, 1201)) AS rev FROM s WHERE rest <> '')))))
+        SELECT doc_id, ordinal - 1 AS ordinal, body FROM s WHERE body IS NOT NULL AND body <> ''"""
+
+
+@query(_STRUCTURAL)
 def chunk_structural(spark, sf_dir):
     return chunking.whole_documents(table(spark, sf_dir, "documents")).select("doc_id", "ordinal", "body")
 
@@ -656,9 +668,12 @@ def extract_html(spark, sf_dir):
     return formats.read_pages(table(spark, sf_dir, "pages"))
 
 
-@query()
+@query("""WITH w AS (SELECT lookup, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{3,}')) AS w FROM (SELECT DISTINCT text, sha256(text) AS lookup FROM documents)),
+        c AS (SELECT lookup, ('0x' || right(sha256(w), 2))::INT % 64 AS at, count(*) AS n FROM w GROUP BY ALL)
+        SELECT lookup, 'hash:64:document' AS key, count(*) AS filled, round(max(n) / sqrt(sum(n * n)), 4) AS largest FROM c GROUP BY lookup""")
 def embed_documents(spark, sf_dir):
-    return embedding.embed(table(spark, sf_dir, "documents").select("text"), embedding.hash_embedder(64), embedding.cache_key("hash", 64))
+    got = embedding.embed(table(spark, sf_dir, "documents").select("text"), embedding.hash_embedder(64), embedding.cache_key("hash", 64))
+    return got.select("lookup", "key", F.size(F.filter("vector", lambda v: v > 0)).alias("filled"), F.round(F.array_max("vector").cast("double"), 4).alias("largest"))
 
 
 @query("SELECT user_id, ts::DATE::VARCHAR AS day, sum(floor(value)::BIGINT)::BIGINT AS tokens, count(*) AS calls FROM events GROUP BY ALL")
