@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.functions.moments import format_date, moment
-from lectern.operators import scope, search, tree
+from lectern.operators import scope, search, store, tree
 
 NO_HITS = "Keine Treffer."
 MAX_CHARS, READ_CHARS = 6000, 20_000
@@ -131,18 +131,25 @@ def _one(c: Corpus, path: str) -> DataFrame:
 
 
 def stat_file(c: Corpus, path: str) -> DataFrame:
+    """What is known of a file; title, kind, link and a note where the documents have them."""
     rows = _one(c, path)
-    return rows.select("doc_id", "path", F.length("text").alias("chars"), T.token_estimate("text").alias("tokens"), format_date(F.col("timemodified"), c.zone).alias("modified"))
+    has = lambda n: F.col(n) if n in rows.columns else F.lit(None).cast("string")
+    kind = store.labelled(has("kind"), store.KINDS)
+    kind = F.when(has("mimetype").isNotNull(), F.concat(kind, F.lit(" ("), has("mimetype"), F.lit(")"))).otherwise(kind)
+    note = F.when(has("skip_reason").isNotNull(), F.concat(F.lit("Inhalt nicht (vollständig) lesbar ("), has("skip_reason"), F.lit(")")))
+    return rows.select("doc_id", "path", has("title").alias("title"), kind.alias("kind"), F.length("text").alias("chars"), T.token_estimate("text").alias("tokens"), format_date(F.col("timemodified"), c.zone).alias("modified"), has("module_url").alias("link"), note.alias("note"))
 
 
 def read_file(c: Corpus, path: str, offset: int = 0, limit: int = 6000, page: int | None = None) -> DataFrame:
+    """A part of a file's text, in which each page begins with its mark, and where the next part begins."""
     bounded(limit, 1, READ_CHARS, "limit")
     rows = _one(c, path).select("doc_id", "text")
     if c.segments is None:
         segments = rows.withColumns({"ordinal": F.lit(0), "page": F.lit(None).cast("int")})
     else:
         segments = c.segments.join(rows.select("doc_id"), "doc_id", "left_semi")
-    return tree.read_segments(segments, offset, limit, page)
+    mark = F.when(F.col("page") > 0, F.concat(F.lit("[Seite "), F.col("page").cast("string"), F.lit("]\n"))).otherwise(F.lit(""))
+    return tree.read_segments(segments.withColumn("text", F.concat(mark, "text")), offset, limit, page)
 
 
 def list_documents(c: Corpus, order: str = "newest", path: str | None = None, limit: int = 20, since: str | None = None, until: str | None = None) -> DataFrame:
@@ -155,9 +162,17 @@ def current_datetime(c: Corpus) -> DataFrame:
     return spark.range(1).select(F.lit(at.isoformat()).alias("now"), F.lit(f"{at.isocalendar().year}-W{at.isocalendar().week:02d}").alias("iso_week"), F.lit(at.isoweekday()).alias("weekday"), F.lit(str(at.tzinfo)).alias("zone"))
 
 
-def current_user(c: Corpus, roles: DataFrame, teacher: tuple[str, ...] = ("teacher", "editingteacher", "manager")) -> DataFrame:
-    """Courses, and those taught, of each user of roles (user_id, course_id, roles)."""
-    return roles.groupBy("user_id").agg(F.count("*").alias("courses"), F.count_if(F.arrays_overlap("roles", F.array(*map(F.lit, teacher)))).alias("taught"))
+def current_user(c: Corpus, roles: DataFrame, teacher: tuple[str, ...] = ("teacher", "editingteacher", "manager"), detail: str = "summary", groups: DataFrame | None = None) -> DataFrame:
+    """Of each user of roles (user_id, course_id, roles): how many courses, and those taught (summary); or, for courses and access, a row per course with what its roles are called and the user's groups (user_id, course_id, group)."""
+    if detail not in ("summary", "courses", "access"):
+        raise ValueError("detail is summary, courses or access")
+    if detail == "summary":
+        return roles.groupBy("user_id").agg(F.count("*").alias("courses"), F.count_if(F.arrays_overlap("roles", F.array(*map(F.lit, teacher)))).alias("taught"))
+    named = roles.select("user_id", "course_id", F.coalesce(F.nullif(F.array_join(F.transform("roles", lambda r: store.labelled(r, store.ROLES)), ", "), F.lit("")), F.lit("—")).alias("roles"))
+    if groups is None:
+        return named.withColumn("groups", F.lit(""))
+    own = groups.groupBy("user_id", "course_id").agg(F.array_join(F.array_sort(F.collect_set("group")), ", ").alias("groups"))
+    return named.join(own, ["user_id", "course_id"], "left").withColumn("groups", F.coalesce("groups", F.lit("")))
 
 
 def standard() -> Registry:

@@ -651,7 +651,21 @@ def chunk_structural(spark, sf_dir):
     return chunking.whole_documents(table(spark, sf_dir, "documents")).select("doc_id", "ordinal", "body")
 
 
-@query()
+#: As above, but a step takes in the next segment while there is room, and pages go along.
+_SEGMENTS = f"""WITH RECURSIVE g AS (SELECT doc_id, source, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) AS i, ordinal + 1 AS page, text FROM (SELECT doc_id, source, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ordinal, trim(regexp_replace(unnest(string_split(text, chr(10))), '[ \\t\\r\\f\\v]+', ' ', 'g'), {_STRIP}) AS text FROM documents) WHERE text <> ''),
+        s AS (SELECT doc_id, source, 1 AS i, 0 AS ordinal, NULL::VARCHAR AS body, NULL::BIGINT AS of, text AS rest, page AS begun, page AS last FROM g WHERE i = 1
+              UNION ALL SELECT doc_id, source, CASE WHEN long THEN i ELSE i + 1 END, CASE WHEN long OR more IS NULL THEN ordinal + 1 ELSE ordinal END,
+                  CASE WHEN long THEN head WHEN more IS NULL THEN rest END, CASE WHEN long OR more IS NULL THEN begun END,
+                  CASE WHEN long THEN trim(CASE WHEN length(head) <= 180 THEN head WHEN contains(right(head, 180), ' ') THEN substr(right(head, 180), strpos(right(head, 180), ' ') + 1) ELSE right(head, 180) END || ' ' || tail, {_STRIP}) WHEN more IS NULL THEN '' ELSE rest || chr(10) || chr(10) || more END,
+                  CASE WHEN long THEN last ELSE begun END, CASE WHEN long OR more IS NULL THEN last ELSE page END
+              FROM (SELECT *, trim(substr(rest, 1, cut), {_STRIP}) AS head, trim(substr(rest, cut + 1), {_STRIP}) AS tail
+                    FROM (SELECT *, CASE WHEN para > 400 THEN para WHEN sent > 400 THEN sent WHEN word > 400 THEN word WHEN strpos(substr(rest, 1201), ' ') > 0 THEN 1199 + strpos(substr(rest, 1201), ' ') ELSE length(rest) END AS cut
+                          FROM (SELECT *, length(rest) > 1200 AS long, CASE WHEN strpos(rev, chr(10) || chr(10)) > 0 THEN length(rev) - strpos(rev, chr(10) || chr(10)) - 1 ELSE -1 END AS para, CASE WHEN regexp_matches(rev, '\\s[.!?:;]') THEN length(rev) - length(regexp_extract(rev, '(?s)^(.*?\\s+)[.!?:;]', 1)) ELSE -1 END AS sent, CASE WHEN strpos(rev, ' ') > 0 THEN length(rev) - strpos(rev, ' ') ELSE -1 END AS word
+                                FROM (SELECT s.*, g.text AS more, g.page, reverse(substr(rest, 1, 1201)) AS rev FROM s LEFT JOIN g ON g.doc_id = s.doc_id AND g.i = s.i + 1 WHERE rest <> '')))))
+        SELECT doc_id, ordinal - 1 AS ordinal, of AS page, body, source AS header_text, source || chr(10) || chr(10) || body AS text FROM s WHERE body <> ''"""
+
+
+@query(_SEGMENTS)
 def chunk_segments(spark, sf_dir):
     parts = table(spark, sf_dir, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("ordinal", "text"))
     return chunking.chunk_documents(parts.select("doc_id", "ordinal", "text", (F.col("ordinal") + 1).alias("page"), F.array("source").alias("header_path")))
@@ -940,7 +954,7 @@ def _path(spark, sf_dir) -> str:
     return c.paths.join(c.acl, "doc_id", "left_semi").orderBy("doc_id").select("path").first()[0]
 
 
-@query("WITH d AS (SELECT doc_id, replace(text, chr(10), chr(10) || chr(10)) AS t FROM documents WHERE doc_id = (SELECT min(doc_id) FROM labels JOIN documents USING (doc_id) WHERE toxic = 0)) SELECT doc_id, substr(t, 21, 100) AS text, CASE WHEN length(t) > 120 THEN 120 END AS next_offset FROM d")
+@query("WITH d AS (SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: '[Seite ' || i || ']' || chr(10) || x), chr(10) || chr(10)) AS t FROM documents WHERE doc_id = (SELECT min(doc_id) FROM labels JOIN documents USING (doc_id) WHERE toxic = 0)) SELECT doc_id, substr(t, 21, 100) AS text, CASE WHEN length(t) > 120 THEN 120 END AS next_offset FROM d")
 def tool_read_file(spark, sf_dir):
     return tools.read_file(_corpus(spark, sf_dir), _path(spark, sf_dir), offset=20, limit=100).select("doc_id", "text", "next_offset")
 
@@ -965,3 +979,10 @@ def tool_current_user(spark, sf_dir):
     role = F.when(F.col("c_mktsegment") == "BUILDING", "teacher").when(F.col("c_mktsegment") == "MACHINERY", "manager").otherwise("student")
     roles = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("user_id"), F.col("c_custkey").alias("course_id"), F.array(role).alias("roles"))
     return tools.current_user(tools.Corpus(roles), roles)
+
+
+@query("SELECT c_nationkey AS user_id, c_custkey AS course_id, CASE WHEN c_mktsegment = 'BUILDING' THEN 'Trainer/in, gast' ELSE '—' END AS roles, CASE WHEN c_custkey % 2 = 0 THEN 'a, b' ELSE '' END AS groups FROM customer")
+def tool_user_courses(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("user_id"), F.col("c_custkey").alias("course_id"), F.when(F.col("c_mktsegment") == "BUILDING", F.array(F.lit("editingteacher"), F.lit("gast"))).otherwise(F.array().cast("array<string>")).alias("roles"))
+    groups = c.where("course_id % 2 = 0").select("user_id", "course_id", F.explode(F.array(F.lit("b"), F.lit("a"), F.lit("b"))).alias("group"))
+    return tools.current_user(tools.Corpus(c), c, detail="courses", groups=groups)
