@@ -24,6 +24,7 @@ BATCH_BYTES = 8 << 20
 
 #: A text can be cut at these places: no pre-token of a byte-level file reaches over them.
 _SAFE = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)")
+_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: Distinct pieces in a worker's memory: two generations of so many, of at most LONGEST characters each, some 40 MB.
 REMEMBERED = 120_000
 #: Longer pieces are not remembered.
@@ -166,19 +167,60 @@ class JsonEncoder:
         return out
 
 
+def _fields(data: bytes):
+    """(number, value) of the fields of a protocol buffer message; values are numbers or bytes."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        out = shift = 0
+        while True:
+            byte = data[at]
+            at, out, shift = at + 1, out | (byte & 127) << shift, shift + 7
+            if byte < 128:
+                return out
+
+    while at < len(data):
+        tag = number()
+        if tag & 7 == 0:
+            yield tag >> 3, number()
+        else:
+            size = {1: 8, 5: 4}.get(tag & 7) or number()
+            at += size
+            yield tag >> 3, data[at - size : at]
+
+
 class ModelEncoder:
-    """Ids by the ``sentencepiece`` library, text by text."""
+    """Ids by the ``sentencepiece`` library.
+
+    Long texts are cut at single spaces where a model merges pairs (so that what it does at one place
+    does not depend on others), puts a space before a text, and has no piece with a space inside.
+    """
+
+    #: The fields of a model that hold its training's settings, and in these its kind; the kind that merges pairs.
+    SETTINGS, KIND, MERGES = 2, 3, 2
 
     def __init__(self, path: str):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        kind = next((v for n, s in _fields(self.model.serialized_model_proto()) if n == self.SETTINGS for m, v in _fields(s) if m == self.KIND), 1)
+        inside = any("\u2581" in p.lstrip("\u2581") for p in map(self.model.id_to_piece, range(self.model.get_piece_size())))
+        self.cuts = kind == self.MERGES and not inside and self.model.encode("a b") == self.model.encode("a") + self.model.encode("b")
+
+    def cut(self, text: str, limit: int = BATCH_BYTES // 4) -> list[str]:
+        """``text`` in parts of about ``limit`` characters that encode on their own; whole where it has no safe place."""
+        out, start = [], 0
+        while self.cuts and len(text) - start > limit and (m := _SPACE.search(text, start + limit)):
+            out.append(text[start : m.start()])
+            start = m.end()
+        return [*out, text[start:]]
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
-        return [np.array(x, np.uint32) for x in self.model.encode(texts.to_pylist(), num_threads=1)]
+        return [np.array([t for part in self.cut(x) for t in self.model.encode(part, num_threads=1)], np.uint32) for x in texts.to_pylist()]
 
     def count(self, texts: pa.Array) -> np.ndarray:
-        return np.array([len(x) for x in self.model.encode(texts.to_pylist(), num_threads=1)], np.int64)
+        return np.array([sum(len(self.model.encode(part, num_threads=1)) for part in self.cut(x)) for x in texts.to_pylist()], np.int64)
 
 
 _encoders: dict[str, JsonEncoder | ModelEncoder] = {}

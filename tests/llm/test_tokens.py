@@ -189,3 +189,15 @@ def test_token_files(tiny, edge, empty, library):
     assert [r.doc_id for r in got] == [None, None, 1, 2, 3, 4, 5, 6, 7, 7, 8]
     assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:], strict=False))
     assert token_files.round_trip(empty, PATH).count() == 0
+
+
+def test_model_files_are_cut_where_it_is_safe():
+    import public_tokenizers
+
+    run = encode.ModelEncoder(str(public_tokenizers.path("piece_bpe_32k.model")))
+    rng = random.Random(2)
+    text = "".join(rng.choices(["word ", "other, ", "und\n", "  ", "日本 ", "x-y ", "\t", "naïve "], k=3000))
+    parts = run.cut(text, 100)
+    assert run.cuts and len(parts) > 50
+    assert [t for p in parts for t in run.model.encode(p)] == run.model.encode(text)
+    assert run(pa.array([text, ""]))[0].tolist() == run.model.encode(text) and run.count(pa.array([text, ""])).tolist() == [len(run.model.encode(text)), 0]
