@@ -14,10 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import moments as M
+from lectern.functions import payloads as P
 from lectern.functions import text as T
 from lectern.functions import urls as U
 from lectern.functions import vectors as V
-from lectern.operators import chunking, embedding, events, jobs, outbox, quota, scope, search, store, sync, tools, tree
+from lectern.operators import chunking, embedding, events, jobs, outbox, quota, scope, search, seed, store, sync, tools, tree
 from lectern.plans.shipping import ship
 from lectern.plans.storage import scratch
 from lectern.sources import connectors, formats
@@ -986,3 +987,56 @@ def tool_user_courses(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("user_id"), F.col("c_custkey").alias("course_id"), F.when(F.col("c_mktsegment") == "BUILDING", F.array(F.lit("editingteacher"), F.lit("gast"))).otherwise(F.array().cast("array<string>")).alias("roles"))
     groups = c.where("course_id % 2 = 0").select("user_id", "course_id", F.explode(F.array(F.lit("b"), F.lit("a"), F.lit("b"))).alias("group"))
     return tools.current_user(tools.Corpus(c), c, detail="courses", groups=groups)
+
+
+# ---------------------------------------------------------------- messages, manifests, what is sent
+
+
+@query("SELECT conv_id, turn, text || '!' AS text, CASE turn % 3 WHEN 0 THEN 'r' || turn WHEN 1 THEN 'ab' ELSE '' END AS reasoning, CASE WHEN turn % 2 = 0 THEN turn END AS input_tokens, CASE WHEN turn % 2 = 0 THEN 2 END AS reasoning_tokens FROM conversations")
+def message_parts(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    block = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("text"))
+    blocks = F.to_json(F.array(block("reasoning", F.lit("no")), block("text", F.col("text")), block("text", F.lit("!"))))
+    turn = F.col("turn").cast("string")
+    payload = F.when(F.col("turn") % 3 == 0, F.concat(F.lit('{"reasoning_content": "", "reasoning": "r'), turn, F.lit('"}'))).when(F.col("turn") % 3 == 1, F.lit('{"reasoning_details": [{"type": "reasoning.text", "text": "a"}, {"type": "x", "text": "no"}, {"type": "reasoning.summary", "summary": "b"}]}')).otherwise(F.lit('{"content": "x"}'))
+    meta = F.when(F.col("turn") % 2 == 0, F.concat(F.lit('{"input_tokens": '), turn, F.lit(', "output_tokens": 3, "output_token_details": {"reasoning": 2}}')))
+    used = P.usage_of(meta)
+    return rows.select("conv_id", "turn", P.message_text(blocks).alias("text"), P.reasoning_text(payload).alias("reasoning"), used["input_tokens"].alias("input_tokens"), used["reasoning_tokens"].alias("reasoning_tokens"))
+
+
+@query("SELECT p_partkey AS id, p_size % 3 <> 1 AND p_size <= 25 AS ok FROM part")
+def allowed_files(spark, sf_dir):
+    name = F.element_at(F.array(F.lit("a.PDF"), F.lit("b.tar.gz"), F.lit("c.x.md")), (F.col("p_size") % 3 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), seed.allowed(name, F.col("p_size") * 1024 * 1024).alias("ok"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'no blob' WHEN doc_id % 5 = 1 THEN 'blob missing' WHEN length(text) > 2000 THEN 'too large' END AS reason FROM documents WHERE doc_id % 4 IN (1, 2)")
+def seed_skipped(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 4).alias("course_id"), F.lit("file").alias("kind"), F.when(F.col("doc_id") % 5 != 0, F.sha2(F.col("doc_id").cast("string"), 256)).alias("blob_sha256"), "text")
+    blobs = docs.where("doc_id % 5 > 1").select(F.col("blob_sha256").alias("sha256"), (F.length("text") * 1000).alias("size"))
+    return seed.skipped(docs, blobs, [1, 2], most_mb=2).select("doc_id", "reason")
+
+
+@query("WITH d AS (SELECT doc_id, lang, source, doc_id % 3 AS m FROM documents), m AS (SELECT lang, source, m, min(doc_id) AS seen, any_value(m) || '=' || string_agg(doc_id::VARCHAR, '+' ORDER BY doc_id) AS x FROM d GROUP BY ALL), s AS (SELECT lang, min(m.seen) AS first, any_value(source) || ':' || string_agg(x, ' ' ORDER BY m.seen) AS x FROM m GROUP BY lang, source) SELECT lang, string_agg(x, '; ' ORDER BY first) AS sections FROM s GROUP BY lang")
+def seed_manifest(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("course_id"), F.col("source").alias("section_name"), (F.col("doc_id") % 3).alias("module_id"))
+    module = lambda m: F.concat(m["id"].cast("string"), F.lit("="), F.array_join(F.transform(m["documents"], lambda d: d.cast("string")), "+"))
+    text = F.array_join(F.transform("sections", lambda s: F.concat(s["name"], F.lit(":"), F.array_join(F.transform(s["modules"], module), " "))), "; ")
+    return seed.manifest(docs, "doc_id").select(F.col("course_id").alias("lang"), text.alias("sections"))
+
+
+@query("SELECT c_custkey AS id, substr('10110', (c_custkey % 5 + 1)::INT, 1) = '1' AS enrolled FROM customer")
+def seed_enrolled(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), seed.enrolled(F.lit("10110"), F.col("c_custkey")).alias("enrolled"))
+
+
+@query("SELECT sha256(text) AS sha256, max(doc_id) AS file FROM documents WHERE doc_id % 2 = 0 AND sha256(text) IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 = 0) GROUP BY 1")
+def wanted_uploads(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("file_sha256"))
+    return seed.uploads(docs.where("doc_id % 3 = 0").select(F.col("file_sha256").alias("sha256")), docs.where("doc_id % 2 = 0").withColumn("file", F.col("doc_id")))
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderstatus <> 'O' THEN 'finished' WHEN o_orderkey = (SELECT max(o_orderkey) FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 1000 > 500) THEN 'running' ELSE 'abandoned' END AS state FROM orders")
+def sync_resumed(spark, sf_dir):
+    runs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "O", "running").otherwise("finished").alias("state"), (F.col("o_orderkey") % 1000).cast("int").alias("timemodified"))
+    return seed.resumable(runs, 500 + 23 * 3600).select("id", "state")

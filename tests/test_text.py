@@ -116,3 +116,13 @@ def test_vectors(spark):
     assert one(spark, [0.0, 0.0], V.l2_normalise, "array<double>") == [0.0, 0.0]
     row = spark.createDataFrame([([1.0, 0.0], [-1.0, 0.0], [0.0, 0.0])], "a array<float>, b array<float>, z array<float>").select(V.cosine_distance("a", "b").alias("far"), V.cosine_distance("a", "z").alias("zero")).first()
     assert tuple(row) == (2.0, 0.0)
+
+
+def test_payloads(spark):
+    from lectern.functions import payloads as P
+
+    assert P.summary("{query} in {path}", {"query": "x"}, "Suche") == "x in " and P.summary("{0}", {}, "Suche") == "Suche"
+    rows = spark.createDataFrame([(None,), ("{}",), ('{"reasoning": "x"}',), ("rubbish",)], "p string")
+    assert [r[0] for r in rows.select(P.reasoning_text(F.col("p"))).collect()] == ["", "", "x", ""]
+    assert [r[0] for r in rows.select(P.usage_of(F.col("p"))["input_tokens"]).collect()] == [None, None, 0, 0]
+    assert one(spark, "a", lambda c: P.encoded(F.col(c) if isinstance(c, str) else c)) is not None
