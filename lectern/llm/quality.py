@@ -15,7 +15,6 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from lectern.llm.common import pick, ship
 from lectern.llm.labelled import BYTES, PER_CLASS, sample
