@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lectern.llm.common import pick, stored
 
 #: Rows of each class in the sample, and bytes of their texts together.
-PER_CLASS, BYTES = 3000, 12 << 20
+PER_CLASS, BYTES = 3000, 6 << 20
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int = PER_CLASS, most_bytes: int = BYTES) -> tuple[pa.Table, dict[int, int]]:

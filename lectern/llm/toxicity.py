@@ -137,18 +137,27 @@ def _ratio(k: int, other: int, clean: int, toxic: int) -> float:
 
 def fit(texts: list[str], toxic: list[int]) -> Model:
     """A model from texts labelled as wholes; one that calls nothing toxic if a class is missing."""
-    in_docs = (Counter(), Counter())
-    for x, y in zip(texts, toxic, strict=True):
-        in_docs[y].update({f for w in set(x.split()) for f in features(w)})
     total = (toxic.count(0), toxic.count(1))
     if not total[0] or not total[1]:
         return Model()
-    likely = {f for f, k in in_docs[1].items() if k >= LEAST_DOCS and (k + 0.1) / total[1] >= LEAST_ODDS * (in_docs[0][f] + 0.1) / total[0]}
+    # Of the clean documents only what is in enough toxic ones is counted.
+    in_toxic: Counter = Counter()
+    for x, y in zip(texts, toxic, strict=True):
+        if y:
+            in_toxic.update({f for w in set(x.split()) for f in features(w)})
+    in_toxic = Counter({f: k for f, k in in_toxic.items() if k >= LEAST_DOCS})
+    in_clean: Counter = Counter()
+    for x, y in zip(texts, toxic, strict=True):
+        if not y:
+            in_clean.update({f for w in set(x.split()) for f in features(w) if f in in_toxic})
+    likely = {f for f, k in in_toxic.items() if (k + 0.1) / total[1] >= LEAST_ODDS * (in_clean[f] + 0.1) / total[0]}
+    del in_toxic, in_clean
     places: tuple[set, set] = (set(), set())
     for x, y in zip(texts, toxic, strict=True):
         tokens = ["", *x.split(), ""]
-        places[y].update((f, bare(a), bare(b)) for a, w, b in zip(tokens, tokens[1:], tokens[2:], strict=False) for f in features(w) if f in likely)
+        places[y].update((f, hash((bare(a), bare(b)))) for a, w, b in zip(tokens, tokens[1:], tokens[2:], strict=False) for f in features(w) if f in likely)
     at = tuple(Counter(p[0] for p in places[y]) for y in (0, 1))
+    del places
     found = {f: (k, at[0][f]) for f, k in at[1].items() if k >= LEAST_DOCS}
     least = 2 * np.log(max(1, len(found)) / CHANCE)
     number = {f: i for i, f in enumerate(sorted(f for f, (k, other) in found.items() if (k + 0.1) / total[1] >= LEAST_ODDS * (other + 0.1) / total[0] and _ratio(k, other, *total) >= least))}
