@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.plans import shipping
@@ -12,7 +12,7 @@ from lectern.plans.storage import scratch
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again.
 
     This cuts the lineage, survives lost executors, and fixes what is not deterministic. The shuffle
@@ -22,7 +22,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path, told = scratch(spark, name), spark.conf.get(_CLEAN)
     spark.conf.set(_CLEAN, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
     finally:
         spark.conf.set(_CLEAN, told)
     return spark.read.schema(df.schema).parquet(path)
@@ -60,6 +60,24 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def ranked(df: DataFrame, name: str, *order: Column) -> DataFrame:
+    """``df`` and ``name``, the place of each row in ``order``, from 0: sorted in ranges, counted within each, and shifted by the counts of those before.
+
+    Rows that ``order`` does not tell apart are numbered as they come. Of the ranges, whose number is
+    that of shuffle partitions, one row each meets to be summed; no row but these goes to one task.
+    """
+    spark = df.sparkSession
+    dealt = df.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+    # This id is the task's number (from bit 33 on) and the row's place in it.
+    at = stored(dealt.withColumn(name, F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright(name, 33)
+    counts = at.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))
+    before = F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    joined = at.join(F.broadcast(counts), part == F.col("_part"))
+    return joined.select(*df.columns, (F.col(name).bitwiseAND((1 << 33) - 1) + F.col("_before")).alias(name))
+
+
 def uniform(*cols: Column) -> Column:
     """A number in [0, 1) that depends on the columns' values alone."""
     return (F.shiftrightunsigned(F.xxhash64(*cols), 11)).cast("double") * F.lit(2.0**-53)
