@@ -9,6 +9,7 @@ row, used as a scalar subquery. Scores are rounded before ranking, and ties go b
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -90,14 +91,20 @@ def write_index(chunks: DataFrame, path: str, key: str = "doc_id") -> None:
 
 def indexed_bm25(spark: SparkSession, path: str, query: str, mode: str = "any", key: str = "doc_id", scope: DataFrame | None = None) -> DataFrame:
     """The same as ``bm25`` from an index: only the parts of the query's terms are read, and of these the row groups with the terms."""
-    terms, postings = query_terms(query, mode), spark.read.parquet(f"{path}/postings")
+    postings = spark.read.parquet(f"{path}/postings")
+    return from_postings(lambda where: postings if where is None else postings.where(where), spark.read.parquet(f"{path}/stats"), query, mode, key, scope)
+
+
+def from_postings(read: Callable[[Column | None], DataFrame], stats: DataFrame, query: str, mode: str = "any", key: str = "doc_id", scope: DataFrame | None = None) -> DataFrame:
+    """key and score from postings (bucket, term, key, len, positions), which ``read`` gives for a condition, and one row of statistics (n, avg)."""
+    terms = query_terms(query, mode)
     if not terms:
-        return postings.select(key, F.lit(0.0).alias("score")).where(F.lit(False))
+        return read(F.lit(False)).select(key, F.lit(0.0).alias("score"))
 
     def of(part: str, prefix: bool) -> DataFrame:
-        short = prefix and len(part) < LEADING
-        rows = postings if short else postings.where(F.col("bucket") == spark.range(1).select(bucket(F.lit(part))).first()[0])
-        rows = rows.where(F.col("term").startswith(part) if prefix else F.col("term") == part)
+        held = F.col("term").startswith(part) if prefix else F.col("term") == part
+        # The part's number is a constant, which the scan prunes folders by.
+        rows = read(held if prefix and len(part) < LEADING else (F.col("bucket") == bucket(F.lit(part))) & held)
         return rows.groupBy(key, "len").agg(F.flatten(F.collect_list("positions")).alias("p")) if prefix else rows.select(key, "len", F.col("positions").alias("p"))
 
     def back(k: int) -> Column:
@@ -111,11 +118,12 @@ def indexed_bm25(spark: SparkSession, path: str, query: str, mode: str = "any",
         return rows.where(F.size("p") > 0).select(key, "len", F.lit(i).alias("i"), F.size("p").alias("f"))
 
     every = reduce(DataFrame.unionAll, [found(*t, i) for i, t in enumerate(terms)])
-    counts = every.agg(*(F.count_if(F.col("i") == i).alias(f"n{i}") for i in range(len(terms))))
-    stats = spark.read.parquet(f"{path}/stats").crossJoin(counts).select(F.struct("n", "avg", *(f"n{i}" for i in range(len(terms)))).alias("s")).scalar()  # one row by one row
     rows = every.groupBy(key, "len").agg(*(F.coalesce(F.sum(F.when(F.col("i") == i, F.col("f"))), F.lit(0)).alias(f"f{i}") for i in range(len(terms))))
+    # Counted from the same grouping, whose exchange is read twice and made once.
+    counts = rows.agg(*(F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(terms))))
+    told = stats.crossJoin(counts).select(F.struct("n", "avg", *(f"n{i}" for i in range(len(terms)))).alias("s")).scalar()  # one row by one row
     rows = rows if scope is None else rows.join(scope.select(key), key, "left_semi")
-    return scored(rows, stats, len(terms), mode, key)
+    return scored(rows, told, len(terms), mode, key)
 
 
 def top(df: DataFrame, score: str, k: int, key: str = "doc_id", smallest: bool = False) -> DataFrame:
@@ -142,9 +150,17 @@ def fuse(lists: dict[str, DataFrame], key: str = "doc_id") -> DataFrame:
     return got.select(key, "score", F.array_join("by.name", ",").alias("sources"))
 
 
-def hybrid(chunks: DataFrame, vectors: DataFrame | None, query: str, vector: Column | None, k: int = 8, mode: str = "any", scope: DataFrame | None = None) -> DataFrame:
-    """Keywords and vectors fused; keywords alone where there are no vectors."""
-    lexical = top(bm25(chunks, query, mode, scope=scope), "score", DEPTH)
+#: What gives key and score of a query (text, mode, scope): ``bm25`` over texts, or over an index.
+Ranking = Callable[[str, str, DataFrame | None], DataFrame]
+
+
+def scanned(chunks: DataFrame) -> Ranking:
+    return lambda query, mode, scope: bm25(chunks, query, mode, scope=scope)
+
+
+def hybrid(chunks: DataFrame, vectors: DataFrame | None, query: str, vector: Column | None, k: int = 8, mode: str = "any", scope: DataFrame | None = None, index: Ranking | None = None) -> DataFrame:
+    """Keywords and vectors fused; keywords alone where there are no vectors. With ``index`` the texts are not read."""
+    lexical = top((index or scanned(chunks))(query, mode, scope), "score", DEPTH)
     lists = {"text": ranked(lexical, F.desc("score"), F.col("doc_id"))}
     if vectors is not None and vector is not None:
         near = cosine(vectors, vector, scope=None if scope is None else scope.withColumnRenamed("doc_id", "vec_id"))
@@ -153,9 +169,9 @@ def hybrid(chunks: DataFrame, vectors: DataFrame | None, query: str, vector: Col
     return top(fuse(lists), "score", k)
 
 
-def text_search(chunks: DataFrame, query: str, k: int = 8, mode: str = "any", scope: DataFrame | None = None) -> DataFrame:
+def text_search(chunks: DataFrame, query: str, k: int = 8, mode: str = "any", scope: DataFrame | None = None, index: Ranking | None = None) -> DataFrame:
     """Keywords alone, scored by rank."""
-    got = ranked(top(bm25(chunks, query, mode, scope=scope), "score", k), F.desc("score"), F.col("doc_id"))
+    got = ranked(top((index or scanned(chunks))(query, mode, scope), "score", k), F.desc("score"), F.col("doc_id"))
     return got.select("doc_id", F.round(1.0 / (RRF_K + F.col("rank")), 8).alias("score"), "rank")
 
 

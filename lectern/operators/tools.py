@@ -31,6 +31,8 @@ class Corpus:
     acl: DataFrame | None = None
     now: datetime = field(default_factory=lambda: datetime.now().astimezone())
     capabilities: frozenset[str] = frozenset()
+    #: Ranks by a stored index instead of a scan, for example ``live_index.ranking(snapshot)``.
+    index: search.Ranking | None = None
 
     def scoped(self, path: str | None = None, since: str | None = None, until: str | None = None) -> DataFrame:
         """Documents in scope, below a path and within days (both inclusive)."""
@@ -95,7 +97,7 @@ def search_content(c: Corpus, query: str, k: int = 8, path: str | None = None, s
     bounded(k, 1, 20, "k")
     docs = c.scoped(path, since, until)
     vector = c.embed(query) if c.embed and c.vectors is not None else None
-    hits = search.hybrid(c.documents, c.vectors, query, vector, k, scope=docs.select("doc_id"))
+    hits = search.hybrid(c.documents, c.vectors, query, vector, k, scope=docs.select("doc_id"), index=c.index)
     return c.live(search.hydrate(hits, docs)).orderBy(F.desc("score"), "doc_id")
 
 
@@ -104,7 +106,7 @@ def search_text(c: Corpus, query: str, mode: str = "any", k: int = 8, path: str
     if mode not in ("any", "all", "phrase"):
         raise ValueError("mode is any, all or phrase")
     docs = c.scoped(path, since, until)
-    return c.live(search.hydrate(search.text_search(c.documents, query, k, mode, docs.select("doc_id")), docs)).orderBy("rank")
+    return c.live(search.hydrate(search.text_search(c.documents, query, k, mode, docs.select("doc_id"), c.index), docs)).orderBy("rank")
 
 
 def search_regex(c: Corpus, pattern: str, path: str | None = None, ignore_case: bool = False, max_matches: int = 20, context_chars: int = 120, since: str | None = None, until: str | None = None) -> DataFrame:

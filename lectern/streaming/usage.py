@@ -9,9 +9,14 @@ from pyspark.sql import functions as F
 
 
 def daily_usage(usage: DataFrame, zone: str = "UTC", late: str = "1 day") -> DataFrame:
-    """Tokens and calls per local day and user, with a watermark on ts; days follow the zone's clock changes."""
-    day = F.to_date(F.from_utc_timestamp("ts", zone))
-    return usage.withWatermark("ts", late).groupBy(F.window("ts", "1 day"), day.alias("day"), "user_id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("calls")).drop("window")
+    """Tokens and calls per local day and user; days follow the zone's clock changes.
+
+    The watermark is on the day's beginning, and a day is 25 hours at most, so that a row may come ``late`` after its day's end.
+    """
+    day = F.to_date(F.convert_timezone(None, F.lit(zone), F.col("ts")))  # whatever the session's zone
+    begins = F.timestamp_seconds(F.unix_date(day).cast("long") * 86_400)
+    rows = usage.withColumns({"day": day, "_begins": begins}).withWatermark("_begins", f"{late} 25 hours")
+    return rows.groupBy("_begins", "day", "user_id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("calls")).drop("_begins")
 
 
 def once_per_token(requests: DataFrame, ttl: str = "5 minutes") -> DataFrame:
