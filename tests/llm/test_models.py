@@ -96,6 +96,24 @@ def test_only_learnable_labels_are_learnt(spark, tiny):
     assert ids and all(zlib.crc32(str(i).encode()) % 3 != 1 for i in ids) and sum(prior.values()) >= len(ids)
 
 
+
+def test_a_long_text_keeps_no_other_out_of_the_sample(spark):
+    """Texts of 7 MB stand for a passage, wherever they come in the order; both classes stay, within the bound."""
+    from pyspark.sql import functions as F
+
+    from lectern.llm.labelled import BYTES, LONGEST, sample
+
+    docs = spark.createDataFrame([(i, f"word{i} text of one kind") for i in range(200)], "doc_id long, text string")
+    docs = docs.withColumn("text", F.when(F.col("doc_id") % 9 == 0, F.concat(F.lit("ö"), F.repeat(F.lit("wörd "), 1_200_000))).otherwise(F.col("text")))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    got, _ = sample(docs, labels, "toxic", F.lit(True))
+    assert got.num_rows == 200
+    texts = got.column("text").to_pylist()
+    assert max(len(t.encode()) for t in texts) <= LONGEST and sum(len(t) > LONGEST // 8 for t in texts) == 23
+    assert sum(len(t.encode()) for t in texts) <= 2 * BYTES
+    assert sample(docs, labels, "toxic", F.lit(True), most_bytes=10)[0].num_rows == 2
+
+
 def held_out(spark, f, column, modulus, rest):
     rows = f(spark, "/root/testdata/sf0.01").collect()
     truth = {r.doc_id: r[column] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
