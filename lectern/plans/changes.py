@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from lectern.operators import live_index, search, tools
 from lectern.operators.versions import Snapshot
-from lectern.plans.queries import _FUSE, _NEAR, _QUERY, _SNIP, _THREE, _TOKENS, _bm25_sql, _query_vector, _vectors, query, table
+from lectern.plans.queries import _FUSE, _NEAR, _QUERY, _SNIP, _THREE, _TOKENS, ORACLE, _bm25_sql, _query_vector, _vectors, query, table
 from lectern.plans.storage import scratch
+from lectern.streaming import state
 from lectern.streaming import usage as streaming
 
 _built: dict[tuple, Snapshot] = {}
@@ -109,3 +110,42 @@ def stream_usage_local(spark, sf_dir):
     usage = rows.select(F.col("ts").cast("timestamp").alias("ts"), "user_id", F.floor("value").cast("long").alias("tokens"))
     daily = streaming.daily_usage(usage, "Europe/Berlin", late="3650 days")
     return streaming.run_available(daily, scratch(spark, "usage"), ["day", "user_id"]).select("user_id", F.col("day").cast("string").alias("day"), "tokens", "calls")
+
+
+def _events_stream(spark, sf_dir) -> DataFrame:
+    rows = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query(ORACLE["burst_windows"])
+def stream_bursts(spark, sf_dir):
+    """The burst limit as keyed state of a stream."""
+    allowed = state.burst(_events_stream(spark, sf_dir), per_minute=2, late="3650 days")
+    got = streaming.run_available(allowed, scratch(spark, "bursts"), ["user_id", "event_id"])
+    return got.groupBy("user_id").agg(F.count_if("allowed").alias("allowed"), F.count("*").alias("events"))
+
+
+def _outcomes(rows: DataFrame) -> DataFrame:
+    """Events as attempts: those that are no purchase failed, signups with a host's wish to wait."""
+    return rows.select(F.col("user_id").alias("doc_id"), F.when(F.col("user_id") % 2 == 0, "fetch").otherwise("extract").alias("stage"), "ts", "event_id", F.when(F.col("event_type") != "purchase", F.col("event_type")).alias("error"), F.when(F.col("event_type") == "signup", 100.0).alias("at_least"))
+
+
+_RETRIES = """WITH e AS (SELECT *, CASE WHEN user_id % 2 = 0 THEN 6 ELSE 3 END AS most, event_type <> 'purchase' AS bad FROM events),
+        r AS (SELECT *, sum(CASE WHEN bad THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM e),
+        n AS (SELECT *, CASE WHEN bad THEN (sum(CASE WHEN bad THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, run ORDER BY ts, event_id) - 1) % most + 1 ELSE 0 END AS k FROM r)
+        SELECT user_id AS doc_id, event_id, CASE WHEN NOT bad THEN 'done' WHEN k = most THEN 'failed' ELSE 'queued' END AS state, k::INT AS attempts,
+               CASE WHEN bad AND k < most THEN round(epoch(ts) + least(3600, greatest(30 * 2 ** (k - 1), CASE WHEN event_type = 'signup' THEN 100 ELSE 0 END)), 3) END AS next_attempt_at FROM n"""
+
+
+@query(_RETRIES)
+def retry_schedule(spark, sf_dir):
+    """What follows each attempt, by windows."""
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return state.retries_of(_outcomes(events)).select("doc_id", "event_id", "state", "attempts", F.round("next_attempt_at", 3).alias("next_attempt_at"))
+
+
+@query(_RETRIES)
+def stream_retries(spark, sf_dir):
+    """The same as keyed state of a stream; the rows of jobs that fell due at its end are left out."""
+    got = streaming.run_available(state.retries(_outcomes(_events_stream(spark, sf_dir)), late="3650 days"), scratch(spark, "retries"), ["doc_id", "stage", "event_id", "state"])
+    return got.where("state <> 'due'").select("doc_id", "event_id", "state", "attempts", F.round("next_attempt_at", 3).alias("next_attempt_at"))
