@@ -11,6 +11,7 @@ from lectern.operators import live_index, search, tools
 from lectern.operators.versions import Snapshot
 from lectern.plans.queries import _FUSE, _NEAR, _QUERY, _SNIP, _THREE, _TOKENS, ORACLE, _bm25_sql, _query_vector, _vectors, query, table
 from lectern.plans.storage import scratch
+from lectern.sources import pushed
 from lectern.streaming import state
 from lectern.streaming import usage as streaming
 
@@ -149,3 +150,51 @@ def stream_retries(spark, sf_dir):
     """The same as keyed state of a stream; the rows of jobs that fell due at its end are left out."""
     got = streaming.run_available(state.retries(_outcomes(_events_stream(spark, sf_dir)), late="3650 days"), scratch(spark, "retries"), ["doc_id", "stage", "event_id", "state"])
     return got.where("state <> 'due'").select("doc_id", "event_id", "state", "attempts", F.round("next_attempt_at", 3).alias("next_attempt_at"))
+
+
+def _requests(spark, sf_dir) -> str:
+    """Documents as logged requests of up to 600, some without a kind, and a line that is no JSON."""
+    path = scratch(spark, "requests")
+    docs = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / F.when(F.col("lang") == "en", 600).otherwise(40)).alias("batch"), F.col("lang").alias("sync"), F.struct("doc_id", F.col("lang").alias("course_id"), F.when(F.col("doc_id") % 10 != 3, "inline").alias("kind"), "text", F.col("n_chars").alias("timemodified")).alias("d"))
+    lines = docs.groupBy("sync", "batch").agg(F.to_json(F.struct(F.first("sync").alias("sync_id"), F.collect_list("d").alias("documents"))).alias("value")).select("value")
+    lines.unionAll(spark.createDataFrame([("{",)], "value string")).write.text(path)
+    return path
+
+
+_PUSHED = """WITH d AS (SELECT *, count(*) OVER (PARTITION BY lang, floor(doc_id / CASE WHEN lang = 'en' THEN 600 ELSE 40 END)) AS size, floor(doc_id / CASE WHEN lang = 'en' THEN 600 ELSE 40 END) AS batch FROM documents)
+        SELECT lang AS sync_id, doc_id::VARCHAR AS doc_id, sha256(text) AS text_sha256, NULL AS rejected FROM d WHERE size <= 100 AND doc_id % 10 <> 3
+        UNION ALL SELECT lang, doc_id::VARCHAR, NULL, 'kind is missing' FROM d WHERE size <= 100 AND doc_id % 10 = 3
+        UNION ALL SELECT DISTINCT ON (lang, batch) lang, NULL, NULL, 'at most 100 documents per request' FROM d WHERE size > 100
+        UNION ALL SELECT NULL, NULL, NULL, 'not JSON'"""
+
+
+@query(_PUSHED)
+def pushed_documents(spark, sf_dir):
+    """Requests of at most a hundred documents by the data source: what is taken and what is rejected."""
+    pushed.register(spark)
+    rows = spark.read.format("lectern_requests").option("mostDocuments", 100).option("rangeBytes", 1 << 18).load(_requests(spark, sf_dir))
+    docs, rejected = pushed.outputs(rows)
+    return docs.select("sync_id", "doc_id", F.sha2("text", 256).alias("text_sha256"), F.lit(None).cast("string").alias("rejected")).unionAll(rejected.select("sync_id", "doc_id", F.lit(None).cast("string"), "rejected"))
+
+
+@query(_PUSHED)
+def stream_pushed_documents(spark, sf_dir):
+    """The same as a stream, whose offsets are the bytes read of each log."""
+    pushed.register(spark)
+    rows = spark.readStream.format("lectern_requests").option("mostDocuments", 100).option("rangeBytes", 1 << 18).load(_requests(spark, sf_dir))
+    at = scratch(spark, "pushed")
+    rows.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    docs, rejected = pushed.outputs(spark.read.schema(rows.schema).parquet(f"{at}/rows"))
+    return docs.select("sync_id", "doc_id", F.sha2("text", 256).alias("text_sha256"), F.lit(None).cast("string").alias("rejected")).unionAll(rejected.select("sync_id", "doc_id", F.lit(None).cast("string"), "rejected"))
+
+
+@query("""WITH d AS (SELECT DISTINCT text, CASE WHEN doc_id % 11 = 0 THEN sha256('x' || text) ELSE sha256(text) END AS sha256 FROM documents),
+        o AS (SELECT sha256, strlen(text) AS bytes, CASE WHEN strlen(text) > 5000 THEN 'too large' WHEN sha256 <> sha256(text) THEN 'digest differs' ELSE 'stored' END AS outcome FROM d)
+        SELECT sha256, outcome, CASE WHEN outcome = 'stored' THEN bytes END AS bytes FROM o UNION ALL SELECT sha256, 'present', bytes FROM o WHERE outcome = 'stored'""")
+def blobs_stored(spark, sf_dir):
+    """Texts as blobs, every eleventh under a wrong digest, none over 5000 bytes; then those that are there once more."""
+    path = scratch(spark, "blobs")
+    docs = table(spark, sf_dir, "documents").select(F.when(F.col("doc_id") % 11 == 0, F.sha2(F.concat(F.lit("x"), "text"), 256)).otherwise(F.sha2("text", 256)).alias("sha256"), F.col("text").cast("binary").alias("content"))
+    pushed.put_blobs(docs, path, 5000)
+    pushed.put_blobs(docs.where((F.octet_length("content") <= 5000) & (F.col("sha256") == F.sha2("content", 256))), path, 5000)
+    return pushed.outcomes(spark, path).join(pushed.blob_sizes(spark, path), "sha256", "left").select("sha256", "outcome", "bytes")
