@@ -672,10 +672,29 @@ def chunk_segments(spark, sf_dir):
     return chunking.chunk_documents(parts.select("doc_id", "ordinal", "text", (F.col("ordinal") + 1).alias("page"), F.array("source").alias("header_path")))
 
 
-@query()
+_SENTENCES = """n AS (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[ \\t\\r\\f\\v]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g'), ' ' || chr(10)) AS text FROM documents),
+        c AS (SELECT doc_id, list_filter(string_split(regexp_replace(regexp_replace(text, '\\n\\n+', chr(1), 'g'), '([.!?:;])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s) <> '') AS s FROM n)"""
+#: Letters whose counts stand in for a sentence's vector.
+_LETTERS = "aeiounrst"
+_LETTER_SQL = "[" + ", ".join(f"(length(s) - length(replace(s, '{x}', '')))::DOUBLE" for x in _LETTERS) + "]"
+
+
+@query(f"""WITH RECURSIVE {_SENTENCES},
+        v AS (SELECT doc_id, pos - 1 AS pos, trim(s[pos]) AS s FROM c, range(1, 100000) r(pos) WHERE pos <= len(s)),
+        w AS (SELECT doc_id, pos, s, {_LETTER_SQL} AS v FROM v),
+        p AS (SELECT *, lag(v) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM w),
+        d AS (SELECT doc_id, pos, s, CASE WHEN b IS NOT NULL THEN round(CASE WHEN sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(b, b)) = 0 THEN 0.0 ELSE greatest(0.0, least(2.0, 1 - list_dot_product(v, b) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(b, b))))) END, 6) END AS distance FROM p),
+        t AS (SELECT doc_id, round(quantile_cont(distance, 0.9), 6) AS most FROM d GROUP BY doc_id),
+        e AS (SELECT d.doc_id, pos, s, length(s) AS length, coalesce(distance > most, false) AS over FROM d LEFT JOIN t USING (doc_id)),
+        f AS (SELECT doc_id, pos, 0 AS ordinal, length + 1 AS size FROM e WHERE pos = 0
+              UNION ALL SELECT e.doc_id, e.pos, f.ordinal + CASE WHEN over OR size + length > 1200 THEN 1 ELSE 0 END, CASE WHEN over OR size + length > 1200 THEN 0 ELSE size END + length + 1 FROM f JOIN e ON e.doc_id = f.doc_id AND e.pos = f.pos + 1)
+        SELECT doc_id, ordinal, string_agg(s, ' ' ORDER BY pos) AS body FROM f JOIN e USING (doc_id, pos) GROUP BY doc_id, ordinal""")
 def semantic_chunks(spark, sf_dir):
-    embed = embedding.hash_embedder(32)
-    return chunking.whole_documents(table(spark, sf_dir, "documents"), lambda s: chunking.semantic(s, embed)).select("doc_id", "ordinal", "body")
+    """Vectors are counts of letters, stored by the sentences' digests as those of a provider would be."""
+    segments = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("ordinal"), "text", F.lit(None).cast("int").alias("page"))
+    counts = F.array(*((F.length("sentence") - F.length(F.replace("sentence", F.lit(x), F.lit("")))).cast("double") for x in _LETTERS))
+    vectors = chunking.sentences(segments).select("lookup", counts.alias("vector")).dropDuplicates(["lookup"])
+    return chunking.semantic(segments, vectors).select("doc_id", "ordinal", "body")
 
 
 @query()
@@ -922,14 +941,14 @@ def parsed_moments(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select(k.alias("id"), M.moment(word, F.lit(1794303000)).alias("at"))
 
 
-@query("SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'https://moodle/mod/page/view.php?id=' || c_custkey WHEN 1 THEN CASE WHEN c_nationkey < 20 THEN 'https://moodle/course/view.php?id=' || c_nationkey ELSE '' END ELSE '' END AS url FROM customer")
+@query("SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'https://lms.example.org/mod/page/view.php?id=' || c_custkey WHEN 1 THEN CASE WHEN c_nationkey < 20 THEN 'https://lms.example.org/course/view.php?id=' || c_nationkey ELSE '' END ELSE '' END AS url FROM customer")
 def resolved_refs(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     k = F.col("c_custkey")
     refs = c.select(F.when(k % 3 == 0, "module").when(k % 3 == 1, "course").otherwise("module").alias("kind"), F.when(k % 3 == 1, F.col("c_nationkey").cast("string")).otherwise(k.cast("string")).alias("id"), k.alias("ref"))
     courses = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("course_id"), F.when(F.col("n_nationkey") >= 20, 1).alias("tombstoned_at"))
     modules = c.select(k.cast("int").alias("cmid"), F.lit("page").alias("modname"))
-    got = connectors.resolve_refs(refs.select("kind", "id").distinct(), courses, modules, modules.where("cmid % 3 = 0"), "https://moodle")
+    got = connectors.resolve_refs(refs.select("kind", "id").distinct(), courses, modules, modules.where("cmid % 3 = 0"), "https://lms.example.org")
     return refs.join(got, ["kind", "id"]).select(F.col("ref").alias("id"), "url")
 
 

@@ -77,12 +77,27 @@ def failing(_texts):
     raise embedding.EmbeddingFailed
 
 
-def test_semantic_chunks():
-    text = "Katze eins. Katze zwei. Hund eins. Hund zwei."
-    embed = lambda s: [[1.0, 0.0] if "Katze" in x else [0.0, 1.0] for x in s]
-    assert [b for b, _ in chunking.semantic([(text, 1)], embed, amount=60)] == ["Katze eins. Katze zwei.", "Hund eins. Hund zwei."]
-    assert chunking.semantic([(text, 1)], failing) == chunking.structural([(text, 1)])
-    assert [round(chunking.threshold([1, 2, 10], k, a), 3) for k, a in (("percentile", 90), ("standard_deviation", 1), ("interquartile", 1), ("gradient", 0))] == [8.4, round(13 / 3 + (((1 - 13 / 3) ** 2 + (2 - 13 / 3) ** 2 + (10 - 13 / 3) ** 2) / 3) ** 0.5, 3), 19, 4.5]
+def test_semantic_chunks(spark):
+    """Two subjects part; a document without all vectors is cut by structure; a single sentence stays."""
+    schema = "doc_id long, ordinal int, text string, page int"
+    segments = spark.createDataFrame([(1, 0, "Katze eins. Katze zwei.", 1), (1, 1, "Hund eins. Hund zwei.", 2), (2, 0, "Katze eins. Was sonst?", 5), (3, 0, "Nur das.", None), (4, 0, None, 1)], schema)
+    vectors = chunking.sentences(segments).where("sentence NOT LIKE 'Was%'").selectExpr("lookup", "CASE WHEN sentence LIKE 'Katze%' THEN array(1.0D, 0.0D) ELSE array(0.0D, 1.0D) END AS vector")
+
+    def cut(**told):
+        return sorted((r["doc_id"], r["ordinal"], r["page"], r["body"]) for r in chunking.semantic(segments, vectors, **told).collect())
+
+    assert cut(amount=60) == [(1, 0, 1, "Katze eins. Katze zwei."), (1, 1, 2, "Hund eins. Hund zwei."), (2, 0, 5, "Katze eins. Was sonst?"), (3, 0, None, "Nur das.")]
+    assert [b for d, *_, b in cut(kind="gradient", target=5, overlap=0) if d == 1] == ["Katze eins.", "Katze zwei.", "Hund eins.", "Hund zwei."]
+
+
+@pytest.mark.parametrize("kind,amount,want", [("percentile", 90, 8.4), ("standard_deviation", 1, round(13 / 3 + (((1 - 13 / 3) ** 2 + (2 - 13 / 3) ** 2 + (10 - 13 / 3) ** 2) / 3) ** 0.5, 5)), ("interquartile", 1, 19), ("gradient", 0, 4.5)])
+def test_thresholds(spark, kind, amount, want):
+    rows = spark.createDataFrame([(1, i, float(d)) for i, d in enumerate((1, 2, 10))], "doc_id long, pos int, distance double")
+    assert chunking.thresholds(rows, ["doc_id"], "pos", amount, amount).first()[chunking.KINDS[kind]] == want
+
+
+def test_tails():
+    assert [chunking.tail("one two three", n) for n in (3, 7, 8, 99)] == ["ree", "three", "three", "one two three"]
 
 
 def test_chunk_documents_spans_pages(spark):
