@@ -44,21 +44,27 @@ class EmbeddingFailed(Exception):
 
 
 def embed(texts: DataFrame, embedder: Callable[[list[str]], np.ndarray], key: str, skip_failures: bool = True) -> DataFrame:
-    """lookup, key and unit vector (null for failed batches) of distinct texts, in batches of ``BATCH``."""
+    """lookup, key and unit vector (null for texts that fail) of distinct texts, in batches of ``BATCH``."""
+
+    def vectors_of(texts: list[str]) -> list:
+        v = np.asarray(embedder(texts), float)
+        n = np.linalg.norm(v, axis=1, keepdims=True)
+        return (v / np.where(n == 0, 1, n)).astype(np.float32).tolist()
+
+    def tried(texts: list[str]) -> list:
+        """A batch that is not taken is tried text by text, so that one bad text costs no other its vector."""
+        try:
+            return vectors_of(texts)
+        except EmbeddingFailed:
+            if not skip_failures:
+                raise
+            return [None] if len(texts) == 1 else [v for t in texts for v in tried([t])]
 
     def run(arrived):
         for df in arrived:
             for first in range(0, len(df), BATCH):
                 part = df.iloc[first : first + BATCH]
-                try:
-                    v = np.asarray(embedder(part["text"].tolist()), float)
-                    n = np.linalg.norm(v, axis=1, keepdims=True)
-                    vectors = (v / np.where(n == 0, 1, n)).astype(np.float32).tolist()
-                except EmbeddingFailed:
-                    if not skip_failures:
-                        raise
-                    vectors = [None] * len(part)
-                yield pd.DataFrame({"lookup": part["lookup"].tolist(), "key": key, "vector": vectors})
+                yield pd.DataFrame({"lookup": part["lookup"].tolist(), "key": key, "vector": tried(part["text"].tolist())})
 
     rows = texts if "lookup" in texts.columns else texts.withColumn("lookup", F.sha2("text", 256)).dropDuplicates(["lookup"])
     return rows.select("lookup", "text").mapInPandas(run, "lookup string, key string, vector array<float>")
