@@ -90,24 +90,46 @@ def location(path: Column) -> Column:
     return F.transform(F.filter(F.split(path, "/"), lambda p: p != ""), lambda p, i: F.struct((i + 1).alias("depth"), p.alias("name")))
 
 
-#: Names of a folder that come to the driver for a fuzzy match.
-SIMILAR_NAMES = 10_000
+#: How like a name must be to be taken for another, and to be suggested.
+LIKE, NEAR = 0.75, 0.4
 
 
-def similar_name(names: list[str], wanted: str) -> tuple[str | None, list[str]]:
-    """The only name that is like a wanted one, or None and up to three suggestions."""
-    by_case = {n.casefold(): n for n in names}
-    near = difflib.get_close_matches(wanted.casefold(), list(by_case), n=2, cutoff=0.75)
-    if len(near) == 1:
-        return by_case[near[0]], []
-    return None, difflib.get_close_matches(wanted, names, n=3, cutoff=0.4) or names[:5]
+def likeness(name: Column, wanted: str, least: float) -> Column:
+    """The share of letters in matching blocks of both, by batches; 0 below ``least``, which counts of letters tell first."""
+
+    def of(names: pd.Series) -> pd.Series:
+        pair = difflib.SequenceMatcher()
+        pair.set_seq2(wanted)
+
+        def one(n: str) -> float:
+            pair.set_seq1(n)
+            # Two upper bounds, by the lengths and by the letters in common.
+            return pair.ratio() if pair.real_quick_ratio() >= least and pair.quick_ratio() >= least and pair.ratio() >= least else 0.0
+
+        return names.map(one)
+
+    return F.pandas_udf(of, "double")(name)
+
+
+def similar_name(names: DataFrame, wanted: str) -> tuple[str | None, list[str]]:
+    """The only one of ``names`` (n) that is like a wanted one but for case, or None and up to three suggestions, the first five names where nothing is near.
+
+    All names are compared, where they are; at most five rows come back.
+    """
+    fold = F.pandas_udf(lambda n: n.str.casefold(), "string")
+    near = names.select("n", fold("n").alias("folded")).groupBy("folded").agg(F.max("n").alias("n")).withColumn("score", likeness(F.col("folded"), wanted.casefold(), LIKE))
+    like = near.where("score > 0").orderBy(F.desc("score"), F.desc("folded")).limit(2).collect()
+    if len(like) == 1:
+        return like[0]["n"], []
+    said = names.withColumn("score", likeness(F.col("n"), wanted, NEAR)).where("score > 0").orderBy(F.desc("score"), F.desc("n")).limit(3).collect()
+    return None, [r["n"] for r in said or names.orderBy("n").limit(5).collect()]
 
 
 def resolve(paths: DataFrame, path: str) -> str:
     """The full path that a user's path means, level by level: the same name, else the same but for case, else the only one it begins, else the only similar one.
 
-    All but the last are one filtered query of at most three rows; for the last, up to SIMILAR_NAMES
-    names of the folder whose lengths allow likeness are looked at.
+    All but the last are one filtered query of at most three rows; for the last all names of the folder
+    are compared, on the executors.
     """
     at = ""
     for depth, wanted in enumerate([p.strip() for p in (path or "/").split("/") if p.strip()], start=1):
@@ -121,8 +143,7 @@ def resolve(paths: DataFrame, path: str) -> str:
         if len(sure) == 1:
             found = sure[0]
         else:
-            names = [r.n for r in level.orderBy(F.abs(F.length("n") - len(wanted)), "n").limit(SIMILAR_NAMES).collect()]
-            found, near = similar_name(sorted(names), wanted)
+            found, near = similar_name(level, wanted)
         if found is None:
             raise LookupError(f"no {wanted!r} in {at or '/'}; perhaps {', '.join(near) or 'nothing there'}")
         at = f"{at}/{found}"

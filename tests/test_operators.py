@@ -96,6 +96,21 @@ def test_thresholds(spark, kind, amount, want):
     assert chunking.thresholds(rows, ["doc_id"], "pos", amount, amount).first()[chunking.KINDS[kind]] == want
 
 
+def test_similar_names_are_those_of_all_pairs(spark):
+    """As the library tells of a whole list: the only like one but for case, else up to three suggestions."""
+    import difflib
+    import random
+
+    draw = random.Random(5)
+    names = sorted({"".join(draw.choice("abcdeÄß ") for _ in range(draw.randint(1, 9))) for _ in range(300)} | {"Einführung", "EINFÜHRUNG", "Straße"})
+    table = spark.createDataFrame([(n,) for n in names], "n string")
+    for wanted in ("Einfuhrung", "STRASSE", "abcde", "qqqqqqqq", names[7][::-1]):
+        by_case = {n.casefold(): n for n in names}
+        near = difflib.get_close_matches(wanted.casefold(), list(by_case), n=2, cutoff=0.75)
+        plain = (by_case[near[0]], []) if len(near) == 1 else (None, difflib.get_close_matches(wanted, names, n=3, cutoff=0.4) or names[:5])
+        assert tree.similar_name(table, wanted) == plain, wanted
+
+
 def test_tails():
     assert [chunking.tail("one two three", n) for n in (3, 7, 8, 99)] == ["ree", "three", "three", "one two three"]
 
@@ -149,7 +164,6 @@ def test_burst_ignores_refused(spark):
 
 def test_names_and_paths(spark):
     assert tree.settle_names(["a", "a", "a (2)", "a"]) == ["a", "a (2)", "a (2) (2)", "a (3)"]
-    assert tree.similar_name(["Einführung"], "Einfuhrung")[0] == "Einführung" and tree.similar_name(["a", "b"], "zzzz") == (None, ["a", "b"])
     names = spark.createDataFrame([("x", i, n) for i, n in enumerate(["a", "a", "a (2)", "a"])] + [("y", 9, "a"), ("y", 8, "a")], "p string, i int, n string")
     got = {(r.p, r.i): r.o for r in tree.unique_names(names, ["p"], "n", ["i"], "o").collect()}
     assert got == {("x", 0): "a", ("x", 1): "a (2)", ("x", 2): "a (2) (2)", ("x", 3): "a (3)", ("y", 8): "a", ("y", 9): "a (2)"}
