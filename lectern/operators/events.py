@@ -60,6 +60,15 @@ def running_turn(turns: DataFrame) -> DataFrame:
     return turns.where(F.col("state").isin("running", "waiting")).groupBy("conversation_id").agg(F.max(F.struct("created_at", "turn_id"))["turn_id"].alias("turn_id"))
 
 
+def interrupt_running(turns: DataFrame, conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """After a crash: (turns, in which running ones of known conversations are interrupted; site_id, user_id, conversation_id and turn_id of these)."""
+    known = conversations.select("conversation_id", "site_id", "user_id")
+    hit = turns.where("state = 'running'").join(known, "conversation_id").select("site_id", "user_id", "conversation_id", "turn_id")
+    marked = turns.join(known.select("conversation_id", F.lit(True).alias("known")), "conversation_id", "left")
+    now = marked.withColumn("state", F.when((F.col("state") == "running") & F.col("known"), "interrupted").otherwise(F.col("state")))
+    return now.select(*turns.columns), hit
+
+
 def citations(hits: DataFrame, answer: str = "answer_id") -> DataFrame:
     """(answer, doc_id, n, pages): documents numbered by first appearance, with their sorted distinct pages."""
     per = hits.groupBy(answer, "doc_id").agg(F.min("pos").alias("pos"), F.array_sort(F.collect_set("page")).alias("pages"))

@@ -78,6 +78,20 @@ def ingest_status(docs: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("documents"), F.count_if(F.col("extract_version").isNull()).alias("pending"), F.count_if(F.col("skip_reason").isNotNull()).alias("skipped"), F.count_distinct("course_id").alias("courses"))
 
 
+def site_status(docs: DataFrame, courses: DataFrame, chunks: DataFrame, runs: DataFrame) -> DataFrame:
+    """Per site: courses and documents that are live, of these pending and skipped ones, chunks of live documents, and the last sync run (struct, null for none).
+
+    Each table is counted by site before they meet; a site that only runs or courses know is there too.
+    """
+    live = docs.where("tombstoned_at IS NULL")
+    n = live.groupBy("site_id").agg(F.count("*").alias("documents"), F.count_if(F.col("extract_version").isNull()).alias("pending"), F.count_if(F.col("skip_reason").isNotNull()).alias("skipped"))
+    c = courses.where("tombstoned_at IS NULL").groupBy("site_id").agg(F.count("*").alias("courses"))
+    k = chunks.join(live.select("site_id", "doc_id"), ["site_id", "doc_id"], "left_semi").groupBy("site_id").agg(F.count("*").alias("chunks"))
+    r = runs.groupBy("site_id").agg(F.max(F.struct("started_at", "sync_id", "mode", "state", "finished_at")).alias("last_sync"))
+    every = n.join(c, "site_id", "full_outer").join(k, "site_id", "full_outer").join(r, "site_id", "full_outer")
+    return every.select("site_id", *(F.coalesce(x, F.lit(0)).alias(x) for x in ("courses", "documents", "pending", "skipped", "chunks")), "last_sync")
+
+
 def failed_live(jobs: DataFrame, docs: DataFrame) -> DataFrame:
     """Failed jobs whose document is live."""
     return jobs.where("state = 'failed'").join(docs.where("tombstoned_at IS NULL"), ["site_id", "doc_id"], "left_semi")

@@ -77,3 +77,12 @@ def gate(use_today: Column, ceiling: Column) -> Column:
 def user_limit(override: Column, site: Column, known: Column) -> Column:
     """An override of null inherits, of 0 is no limit; the site's 0 is no limit."""
     return F.when(known & override.isNotNull(), F.nullif(override, F.lit(0))).otherwise(F.nullif(site, F.lit(0)))
+
+
+def user_limits(users: DataFrame, sites: DataFrame, overrides: DataFrame) -> DataFrame:
+    """users (site_id, user_id) with day_limit and month_limit: their override's, where there is one, else their site's; null is no limit."""
+    own = overrides.select("site_id", "user_id", F.col("day_limit").alias("own_day"), F.col("month_limit").alias("own_month"), F.lit(True).alias("known"))
+    site = sites.select("site_id", F.col("day_limit").alias("site_day"), F.col("month_limit").alias("site_month"))
+    rows = users.join(site, "site_id", "left").join(own, ["site_id", "user_id"], "left")
+    known = F.coalesce("known", F.lit(False))
+    return rows.select(*users.columns, *(user_limit(F.col(f"own_{w}"), F.col(f"site_{w}"), known).alias(f"{w}_limit") for w in ("day", "month")))

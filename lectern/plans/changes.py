@@ -7,9 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.operators import embed_loop, embedding, live_index, search, tools
+from lectern.functions import urls as U
+from lectern.operators import embed_loop, embedding, events, jobs, live_index, quota, search, tools, tree
 from lectern.operators.versions import Snapshot
-from lectern.plans.queries import _FUSE, _NEAR, _QUERY, _SNIP, _THREE, _TOKENS, ORACLE, _bm25_sql, _query_vector, _vectors, query, table
+from lectern.plans.queries import _FUSE, _NEAR, _QUERY, _SNIP, _THREE, _TOKENS, ORACLE, _bm25_sql, _query_vector, _usage, _vectors, query, table
 from lectern.plans.storage import scratch
 from lectern.sources import pushed
 from lectern.streaming import state
@@ -217,3 +218,66 @@ def embed_runs(spark, sf_dir):
         at, _ = embed_loop.run(chunks.where(F.col("chunk_id") % 4 <= i), at, embedder, gate)
     rows = chunks.select("chunk_id").join(at.table("vectors").select("chunk_id", F.lit(True).alias("embedded")), "chunk_id", "left").join(at.table("failures"), "chunk_id", "left").join(at.table("usage"), "chunk_id", "left")
     return rows.select("chunk_id", F.coalesce("embedded", F.lit(False)).alias("embedded"), F.coalesce("n", F.lit(0)).alias("failures"), F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"))
+
+
+@query("""SELECT u.c_custkey AS user_id, CASE WHEN c_custkey % 4 IN (1, 2) THEN nullif(c_custkey % 4 * 100, 0) WHEN c_custkey % 4 = 0 THEN NULL ELSE nullif(c_nationkey, 0) END AS day_limit,
+        CASE WHEN c_custkey % 4 IN (1, 2) THEN nullif(c_nationkey * 10, 0) WHEN c_custkey % 4 = 0 THEN NULL ELSE nullif(c_nationkey * 10, 0) END AS month_limit FROM customer u""")
+def user_limits(spark, sf_dir):
+    """Customers as users of their nation's site: of every four, one has no limit of its own, two have one for the day, one is told that none holds."""
+    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    k = F.col("c_custkey") % 4
+    users = c.select(F.col("c_nationkey").alias("site_id"), F.col("c_custkey").alias("user_id"))
+    sites = n.select(F.col("n_nationkey").alias("site_id"), F.col("n_nationkey").alias("day_limit"), (F.col("n_nationkey") * 10).alias("month_limit"))
+    overrides = c.where(k != 3).select(F.col("c_nationkey").alias("site_id"), F.col("c_custkey").alias("user_id"), (k * 100).alias("day_limit"), F.when(k == 0, 0).alias("month_limit"))
+    return quota.user_limits(users, sites, overrides).select("user_id", "day_limit", "month_limit")
+
+
+@query("""WITH t AS (SELECT o_orderkey AS turn_id, o_custkey AS conversation_id, CASE o_orderstatus WHEN 'O' THEN 'running' WHEN 'P' THEN 'waiting' ELSE 'done' END AS state FROM orders)
+        SELECT turn_id, CASE WHEN state = 'running' AND c_custkey IS NOT NULL THEN 'interrupted' ELSE state END AS state, CASE WHEN state = 'running' THEN c_nationkey END AS site_id FROM t LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) ON c_custkey = conversation_id""")
+def turns_interrupted(spark, sf_dir):
+    """Orders as turns of their customers' conversations, a third of which are gone."""
+    turns = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("turn_id"), F.col("o_custkey").alias("conversation_id"), F.when(F.col("o_orderstatus") == "O", "running").when(F.col("o_orderstatus") == "P", "waiting").otherwise("done").alias("state"))
+    conversations = table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("conversation_id"), F.col("c_nationkey").alias("site_id"), F.col("c_custkey").alias("user_id"))
+    now, hit = events.interrupt_running(turns, conversations)
+    return now.join(hit.select("turn_id", "site_id"), "turn_id", "left").select("turn_id", "state", "site_id")
+
+
+@query("""WITH d AS (SELECT lang AS site_id, count(*) AS documents, count(*) FILTER (WHERE length(text) > 5000) AS pending, count(*) FILTER (WHERE doc_id % 6 = 1) AS skipped, sum(CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END)::BIGINT AS chunks FROM documents WHERE doc_id % 5 <> 0 GROUP BY lang),
+        c AS (SELECT lang AS site_id, count(DISTINCT source) AS courses FROM documents GROUP BY lang), r AS (SELECT 'en' AS site_id, max(o_orderkey) AS last FROM orders WHERE o_orderkey % 2 = 0)
+        SELECT c.site_id, courses, coalesce(documents, 0) AS documents, coalesce(pending, 0) AS pending, coalesce(skipped, 0) AS skipped, coalesce(chunks, 0) AS chunks, last AS last_sync FROM c LEFT JOIN d USING (site_id) LEFT JOIN r USING (site_id)""")
+def site_status(spark, sf_dir):
+    """Languages as sites, sources as courses, orders as sync runs of one site."""
+    raw = table(spark, sf_dir, "documents")
+    docs = raw.select(F.col("lang").alias("site_id"), "doc_id", F.when(F.col("doc_id") % 5 == 0, 1).alias("tombstoned_at"), F.when(F.length("text") <= 5000, 1).alias("extract_version"), F.when(F.col("doc_id") % 6 == 1, "no-text").alias("skip_reason"))
+    courses = raw.select(F.col("lang").alias("site_id"), "source", F.lit(None).cast("int").alias("tombstoned_at")).distinct()
+    chunks = docs.select("site_id", "doc_id", F.explode(F.when(F.col("doc_id") % 2 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("ordinal"))
+    runs = table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").select(F.lit("en").alias("site_id"), F.col("o_orderkey").alias("started_at"), F.col("o_orderkey").alias("sync_id"), F.lit("full").alias("mode"), F.lit("done").alias("state"), F.lit(None).cast("long").alias("finished_at"))
+    return jobs.site_status(docs, courses, chunks, runs).withColumn("last_sync", F.col("last_sync.sync_id"))
+
+
+@query("SELECT user_id, sum(floor(value)::BIGINT)::BIGINT AS used FROM events WHERE ts >= TIMESTAMP '2024-01-14 23:00:00' AND ts < TIMESTAMP '2024-01-15 23:00:00' AND event_type IN ('view', 'click') GROUP BY user_id")
+def quota_used(spark, sf_dir):
+    """What each user spent on the day of Berlin around noon of 15 January, on two purposes."""
+    return quota.used(_usage(spark, sf_dir), 1705316400, "Europe/Berlin", "day", ("view", "click"), by=("user_id",))
+
+
+@query("""WITH p AS (SELECT page_id, string_split(regexp_replace(url, '^[a-z]+://[^/]*', ''), '/') AS parts FROM pages)
+        SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) AS depth, parts[i] AS name FROM p, range(1, 50) r(i) WHERE i <= len(parts) AND parts[i] <> ''""")
+def path_steps(spark, sf_dir):
+    """The steps from the root to each page."""
+    steps = tree.location(F.regexp_replace("url", "^[a-z]+://[^/]*", ""))
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(steps).alias("s")).select("page_id", F.col("s.depth").cast("long").alias("depth"), "s.name")
+
+
+@query("""SELECT page_id, CASE WHEN regexp_matches(rtrim(trim(url), '/'), '^https?://[^/\\s]+') THEN rtrim(trim(url), '/') END AS url, CASE page_id % 6 WHEN 0 THEN 'ok' WHEN 1 THEN 'rate-limited' WHEN 2 THEN 'retry' WHEN 3 THEN 'permanent' WHEN 4 THEN 'rate-limited' ELSE 'ok' END AS outcome FROM pages""")
+def fetch_targets(spark, sf_dir):
+    """URLs without a final slash, and what a status of each would mean."""
+    status = F.element_at(F.array(*(F.lit(x) for x in (200, 429, 502, 404, 503, 299))), (F.col("page_id") % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", U.normalised("url").alias("url"), U.download_outcome(status).alias("outcome"))
+
+
+@query("SELECT site_id, jti FROM (SELECT user_id % 7 AS site_id, event_type AS jti FROM events) GROUP BY ALL")
+def stream_tokens_once(spark, sf_dir):
+    """One-time tokens of a stream: each is taken once."""
+    rows = _events_stream(spark, sf_dir).select("ts", (F.col("user_id") % 7).alias("site_id"), F.col("event_type").alias("jti"))
+    return streaming.run_available(streaming.once_per_token(rows, "3650 days"), scratch(spark, "tokens"), ["site_id", "jti"]).select("site_id", "jti")
