@@ -14,23 +14,25 @@ from lectern.functions import text as T
 def unique_names(df: DataFrame, parent: list[str], name: str, order: list[str], out: str) -> DataFrame:
     """Siblings of one name become "x", "x (2)", "x (3)" in order, each the first of these that no sibling before it has.
 
-    Numbers come from a window over siblings of one name. Only below parents where a name as it is
-    looks like a numbered one are names settled one after the other.
+    Numbers come from a window over siblings of one name. Only where a name as it is looks like a numbered
+    one are names settled one after the other: those of one parent that are alike but for such numbers,
+    as no others can meet.
     """
     n = F.row_number().over(Window.partitionBy(*parent, name).orderBy(*order))
     rows = df.withColumn(out, F.when(n == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit(" ("), n.cast("string"), F.lit(")"))))
+    rows = rows.withColumn("base", F.regexp_replace(name, r"( \(\d+\))+$", ""))
     # Seldom any: adaptive execution then drops the join.
-    clash = df.where(F.col(name).rlike(r" \(\d+\)$")).select(*parent, F.lit(True).alias("clash")).distinct()
-    rows = rows.join(clash, parent, "left") if parent else rows.crossJoin(clash.agg(F.max("clash").alias("clash")))  # by one row
-    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.drop("clash").schema)
+    clash = rows.where(F.col("base") != F.col(name)).select(*parent, "base", F.lit(True).alias("clash")).distinct()
+    rows = rows.join(clash, [*parent, "base"], "left").select(*df.columns, out, "base", "clash")
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.drop("clash", "base").schema)
 
     def settle(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(order, kind="stable")
         part[out] = settle_names(part[name].tolist())
-        return part.drop(columns="clash")
+        return part.drop(columns=["clash", "base"])
 
-    settled = rows.where("clash").groupBy(*parent).applyInPandas(settle, kind)
-    return rows.where("clash IS NULL").drop("clash").unionByName(settled)
+    settled = rows.where("clash").groupBy(*parent, "base").applyInPandas(settle, kind)
+    return rows.where("clash IS NULL").drop("clash", "base").unionByName(settled)
 
 
 def settle_names(names: list[str]) -> list[str]:

@@ -314,3 +314,14 @@ def test_requests(spark, tmp_path):
     mods = spark.createDataFrame([(1, 2, "folder", "F", "", None, None, None)], "course_id int, cmid int, modname string, name string, intro string, content string, url string, chapters array<string>")
     files = spark.createDataFrame([(2, "/a/", "h", "b.pdf")], "cmid int, path string, sha256 string, filename string")
     assert [(r.doc_id, r.content_hash, r.kind) for r in connectors.modules_to_documents(mods, files).collect()] == [("1:2:file:/a/b.pdf", "h", "file")]
+
+
+def test_unique_names_without_parents_settle_by_base(spark):
+    """The same as settling all siblings together, though only names alike but for numbers meet."""
+    names = ["x", "x (2)", "x", "x", "y", "y", "x (2)", "z (2)", "x (2) (2)", "z", "z", "y (3)", "(2)", "w (2) (3)", "w", "w (2)", "w (2)"]
+    df = spark.createDataFrame(list(enumerate(names)), "i int, n string")
+    got = [r["u"] for r in sorted(tree.unique_names(df, [], "n", ["i"], "u").collect(), key=lambda r: r["i"])]
+    assert got == tree.settle_names(names)
+    both = df.withColumn("p", F.col("i") % 2)
+    got = {r["i"]: r["u"] for r in tree.unique_names(both, ["p"], "n", ["i"], "u").collect()}
+    assert [got[i] for i in range(0, 17, 2)] == tree.settle_names(names[::2]) and [got[i] for i in range(1, 17, 2)] == tree.settle_names(names[1::2])
