@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import urls as U
-from lectern.operators import embed_loop, embedding, events, jobs, live_index, quota, search, tools, tree
+from lectern.operators import embed_loop, embedding, events, indexing, jobs, live_index, quota, search, tools, tree
 from lectern.operators.versions import Snapshot
-from lectern.plans.queries import _FUSE, _NEAR, _QUERY, _SNIP, _THREE, _TOKENS, ORACLE, _bm25_sql, _query_vector, _usage, _vectors, query, table
+from lectern.plans.queries import _FUSE, _NEAR, _QUERY, _SNIP, _STRUCTURAL, _THREE, _TOKENS, ORACLE, _bm25_sql, _query_vector, _usage, _vectors, query, table
 from lectern.plans.storage import scratch
 from lectern.sources import pushed
 from lectern.streaming import state
@@ -281,3 +281,28 @@ def stream_tokens_once(spark, sf_dir):
     """One-time tokens of a stream: each is taken once."""
     rows = _events_stream(spark, sf_dir).select("ts", (F.col("user_id") % 7).alias("site_id"), F.col("event_type").alias("jti"))
     return streaming.run_available(streaming.once_per_token(rows, "3650 days"), scratch(spark, "tokens"), ["site_id", "jti"]).select("site_id", "jti")
+
+
+def _content(spark, sf_dir) -> tuple[Snapshot, DataFrame, DataFrame]:
+    """The store after indexing documents of one segment, every ninth of them without text, and what became of them."""
+    raw = table(spark, sf_dir, "documents")
+    docs = raw.select("doc_id", F.array("lang").alias("header_path"), F.when(F.col("doc_id") % 2 == 0, "file").otherwise("html").alias("kind"), F.when(F.col("doc_id") % 4 == 0, "image/png").alias("mimetype"))
+    segments = raw.select("doc_id", F.lit(0).alias("ordinal"), F.when(F.col("doc_id") % 9 == 0, " ").otherwise(F.col("text")).alias("text"), F.lit(1).alias("page"), F.lit(None).cast("string").alias("label"), (F.col("doc_id") % 25 == 7).alias("needs_ocr"))
+    state, outcome = indexing.index(indexing.create(spark, scratch(spark, "content")), docs, segments)
+    return state, docs, outcome
+
+
+@query(f"""WITH ch AS ({_STRUCTURAL}), n AS (SELECT doc_id, count(*) AS n FROM ch WHERE doc_id % 9 <> 0 GROUP BY doc_id),
+        d AS (SELECT d.doc_id, coalesce(n, 0) AS chunks, d.doc_id % 25 = 7 OR (n IS NULL AND d.doc_id % 4 = 0) AS needs FROM documents d LEFT JOIN n USING (doc_id))
+        SELECT doc_id, chunks, CASE WHEN NOT needs AND chunks = 0 THEN 'no-text' END AS skip_reason, CASE WHEN needs THEN 'ocr' WHEN chunks > 0 THEN 'embed' END AS queue FROM d""")
+def index_step(spark, sf_dir):
+    """Chunks, commit and outcome of documents after extraction."""
+    return _content(spark, sf_dir)[2]
+
+
+@query(f"""WITH ch AS ({_STRUCTURAL}) SELECT doc_id, ordinal, CASE WHEN doc_id % 3 = 0 THEN 'moved › ' || lang ELSE lang END || chr(10) || chr(10) || body AS text FROM ch JOIN (SELECT doc_id, lang FROM documents) USING (doc_id) WHERE doc_id % 9 <> 0""")
+def rechunked(spark, sf_dir):
+    """Every third document moves: its chunks get another header, its segments stay."""
+    state, docs, _ = _content(spark, sf_dir)
+    moved = docs.where("doc_id % 3 = 0").select("doc_id", F.concat(F.array(F.lit("moved")), "header_path").alias("header_path"))
+    return indexing.rechunk(state, moved).table("chunks").select("doc_id", "ordinal", "text")
