@@ -43,13 +43,17 @@ class EmbeddingFailed(Exception):
     """What an embedder raises for texts that its provider does not take."""
 
 
-def embed(texts: DataFrame, embedder: Callable[[list[str]], np.ndarray], key: str, skip_failures: bool = True) -> DataFrame:
-    """lookup, key and unit vector (null for texts that fail) of distinct texts, in batches of ``BATCH``."""
+def embed(texts: DataFrame, embedder: Callable[[list[str]], np.ndarray], key: str, skip_failures: bool = True, number: str = "float") -> DataFrame:
+    """lookup, key and unit vector (null for texts that fail) of distinct texts, in batches of ``BATCH``.
+
+    Null texts have none and are left out. ``number`` is the type of a vector's numbers, float or double.
+    """
+    kind = {"float": np.float32, "double": np.float64}[number]
 
     def vectors_of(texts: list[str]) -> list:
         v = np.asarray(embedder(texts), float)
         n = np.linalg.norm(v, axis=1, keepdims=True)
-        return (v / np.where(n == 0, 1, n)).astype(np.float32).tolist()
+        return (v / np.where(n == 0, 1, n)).astype(kind).tolist()
 
     def tried(texts: list[str]) -> list:
         """A batch that is not taken is tried text by text, so that one bad text costs no other its vector."""
@@ -67,7 +71,7 @@ def embed(texts: DataFrame, embedder: Callable[[list[str]], np.ndarray], key: st
                 yield pd.DataFrame({"lookup": part["lookup"].tolist(), "key": key, "vector": tried(part["text"].tolist())})
 
     rows = texts if "lookup" in texts.columns else texts.withColumn("lookup", F.sha2("text", 256)).dropDuplicates(["lookup"])
-    return rows.select("lookup", "text").mapInPandas(run, "lookup string, key string, vector array<float>")
+    return rows.where("text IS NOT NULL").select("lookup", "text").mapInPandas(run, f"lookup string, key string, vector array<{number}>")
 
 
 def embed_cached(texts: DataFrame, cache: DataFrame, embedder: Callable, key: str) -> tuple[DataFrame, DataFrame]:
