@@ -19,23 +19,13 @@ from lectern.operators.versions import Snapshot, Store
 TABLES = ("lengths", "postings")
 
 
-def _cut(chunks: DataFrame, key: str) -> DataFrame:
-    return chunks.select(key, T.index_tokens("text").alias("t"))
-
-
 def lengths(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
-    return _cut(chunks, key).select(key, F.size("t").alias("len"))
-
-
-def laid_out(postings: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Postings by part and term; a frequent term's are in several tasks and files."""
-    return postings.repartitionByRange("bucket", "term", key).sortWithinPartitions("bucket", "term", key)
+    return chunks.select(key, F.size(T.index_tokens("text")).alias("len"))
 
 
 def postings(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
-    """term, key, len, positions, bucket."""
-    each = _cut(chunks, key).select(key, F.size("t").alias("len"), F.posexplode("t").alias("pos", "term")).groupBy("term", key, "len").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
-    return laid_out(each.withColumn("bucket", search.bucket(F.col("term"))), key)
+    """term, key, len, positions, bucket, by part and term."""
+    return search.laid_out(search.posted(chunks, key), key)
 
 
 def tables(chunks: DataFrame, key: str = "doc_id") -> dict[str, DataFrame]:
@@ -76,7 +66,7 @@ def replace(store: Store, ids: DataFrame, chunks: DataFrame, others: dict[str, D
 
 def compact(store: Store, base: Snapshot | None = None) -> Snapshot:
     """The same index in one layer, its postings in order again."""
-    return store.compact(base, {"postings": lambda p: laid_out(p, store.key)})
+    return store.compact(base, {"postings": lambda p: search.laid_out(p, store.key)})
 
 
 def bm25(index: Snapshot, query: str, mode: str = "any", scope: DataFrame | None = None) -> DataFrame:

@@ -12,6 +12,9 @@ import re
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -77,16 +80,50 @@ def bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(F.substring(term, 1, LEADING)), F.lit(BUCKETS)).cast("int")
 
 
+#: Rows in one Arrow batch of postings.
+POSTED = 100_000
+
+
+def posted(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
+    """term, key, len, positions and bucket of ``chunks`` (one row a key), grouped where a text is read: no token is shuffled by itself."""
+    kind = chunks.schema[key].dataType.simpleString()
+
+    def run(arrived):
+        for batch in arrived:
+            texts = batch.column(1)
+            n = pc.list_value_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+            words = texts.flatten().dictionary_encode()
+            if not len(words):
+                continue
+            doc = np.repeat(np.arange(len(n)), n)
+            pos = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+            code = words.indices.to_numpy().astype(np.int64)
+            order = np.argsort(doc * len(words.dictionary) + code, kind="stable")  # places stay in order
+            doc, code, pos = doc[order], code[order], pa.array(pos[order].astype(np.int32))
+            at = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (code[1:] != code[:-1])])
+            places = pa.ListArray.from_arrays(pa.array(np.r_[at, len(doc)].astype(np.int32)), pos)
+            rows = [words.dictionary.take(pa.array(code[at])), batch.column(0).take(pa.array(doc[at])), pa.array(n[doc[at]].astype(np.int32)), places]
+            made = pa.RecordBatch.from_arrays(rows, ["term", key, "len", "positions"])
+            for first in range(0, made.num_rows, POSTED):
+                yield made.slice(first, POSTED)
+
+    each = chunks.select(key, T.index_tokens("text").alias("t")).mapInArrow(run, f"term string, {key} {kind}, len int, positions array<int>")
+    return each.withColumn("bucket", bucket(F.col("term")))
+
+
+def laid_out(postings: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Postings by part and term in one shuffle without a sample before it; parts that get large are dealt to several tasks and files."""
+    return postings.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", key)
+
+
 def write_index(chunks: DataFrame, path: str, key: str = "doc_id") -> None:
     """The inverted index of ``text``: postings in parts by their terms' first letters, sorted by term, and a row of statistics.
 
-    A part whose terms are frequent is several files, as rows are dealt by (part, term, key).
+    A part whose terms are frequent is several files, each of which is sorted.
     """
-    rows = chunks.select(key, T.index_tokens("text").alias("t"))
-    rows.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avg")).write.parquet(f"{path}/stats")
-    each = rows.select(key, F.size("t").alias("len"), F.posexplode("t").alias("pos", "term")).groupBy("term", key, "len").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
-    each = each.withColumn("bucket", bucket(F.col("term"))).repartitionByRange("bucket", "term", key).sortWithinPartitions("bucket", "term", key)
-    each.write.partitionBy("bucket").parquet(f"{path}/postings")
+    rows = chunks.select(key, F.size(T.index_tokens("text")).alias("len"))
+    rows.agg(F.count("*").alias("n"), F.avg("len").alias("avg")).write.parquet(f"{path}/stats")
+    laid_out(posted(chunks, key), key).write.partitionBy("bucket").parquet(f"{path}/postings")
 
 
 def indexed_bm25(spark: SparkSession, path: str, query: str, mode: str = "any", key: str = "doc_id", scope: DataFrame | None = None) -> DataFrame:
