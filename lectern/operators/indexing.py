@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions import text as T
 from lectern.operators import chunking, live_index
 from lectern.operators.store import index_outcome
 from lectern.operators.versions import Snapshot
@@ -25,6 +26,11 @@ def _texts(segments: DataFrame) -> DataFrame:
     return segments.groupBy("doc_id").agg(F.array_join(parts, "\n\n").alias("text"))
 
 
+def _lengths(segments: DataFrame) -> DataFrame:
+    """Tokens of each document: those of its segments together, as the blank line between parts tokens too."""
+    return segments.groupBy("doc_id").agg(F.sum(F.size(T.index_tokens("text"))).cast("int").alias("len"))
+
+
 def _cut(segments: DataFrame, docs: DataFrame) -> DataFrame:
     return chunking.chunk_documents(segments.join(docs.select("doc_id", "header_path"), "doc_id"))
 
@@ -39,7 +45,7 @@ def index(state: Snapshot, docs: DataFrame, segments: DataFrame, ocr: bool = Tru
     """
     chunks = _cut(segments.select("doc_id", "ordinal", "text", "page"), docs)
     own = segments.select("doc_id", "ordinal", "text", "page", "label")
-    state = live_index.replace(state.store, docs, _texts(own), {"segments": own, "chunks": chunks}, state)
+    state = live_index.replace(state.store, docs, _texts(own), {"segments": own, "chunks": chunks}, state, _lengths(own))
     # Counted from what was committed: nothing is cut twice.
     n = state.table("chunks").join(docs.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.count("*").alias("chunks"))
     pages = segments.groupBy("doc_id").agg(F.bool_or(F.coalesce("needs_ocr", F.lit(False))).alias("page"))
@@ -55,4 +61,4 @@ def rechunk(state: Snapshot, relocated: DataFrame) -> Snapshot:
     """The version in which the documents of ``relocated`` (doc_id, header_path) are cut again below their new header; their segments stay."""
     segments = state.table("segments").join(relocated.select("doc_id"), "doc_id", "left_semi")
     ids = segments.select("doc_id").distinct()
-    return live_index.replace(state.store, ids, _texts(segments), {"segments": segments, "chunks": _cut(segments.select("doc_id", "ordinal", "text", "page"), relocated)}, state)
+    return live_index.replace(state.store, ids, _texts(segments), {"segments": segments, "chunks": _cut(segments.select("doc_id", "ordinal", "text", "page"), relocated)}, state, _lengths(segments))

@@ -28,9 +28,9 @@ def postings(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
     return search.laid_out(search.posted(chunks, key), key)
 
 
-def tables(chunks: DataFrame, key: str = "doc_id") -> dict[str, DataFrame]:
-    """The tables of the index of ``chunks`` (key, text), to be committed with others of the same store."""
-    return {"lengths": lengths(chunks, key), "postings": postings(chunks, key)}
+def tables(chunks: DataFrame, key: str = "doc_id", counted: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The tables of the index of ``chunks`` (key, text), to be committed with others of the same store; ``counted`` has their lengths, where these are known."""
+    return {"lengths": lengths(chunks, key) if counted is None else counted, "postings": postings(chunks, key)}
 
 
 def _sums(rows: DataFrame) -> tuple[int, int]:
@@ -53,15 +53,22 @@ def create(store: Store, chunks: DataFrame, others: dict[str, DataFrame] | None
     return store.create({**(others or {}), **layer}, notes)
 
 
-def replace(store: Store, ids: DataFrame, chunks: DataFrame, others: dict[str, DataFrame] | None = None, base: Snapshot | None = None) -> Snapshot:
-    """The next version, in which the documents ``ids`` are indexed as ``chunks`` has them, or not at all."""
+def replace(store: Store, ids: DataFrame, chunks: DataFrame, others: dict[str, DataFrame] | None = None, base: Snapshot | None = None, counted: DataFrame | None = None) -> Snapshot:
+    """The next version, in which the documents ``ids`` are indexed as ``chunks`` has them, or not at all; ``counted`` as in ``tables``."""
     base = base or store.snapshot()
-    touched = ids.select(store.key).distinct()
-    fresh = chunks.join(touched, store.key, "left_semi")
-    # Both sums are of the touched documents alone.
-    (out_n, out_tokens), (in_n, in_tokens) = _sums(base.table("lengths").join(touched, store.key, "left_semi")), _sums(lengths(fresh, store.key))
-    notes = {**base.notes, "n": base.notes["n"] - out_n + in_n, "tokens": base.notes["tokens"] - out_tokens + in_tokens}
-    return store.replace(touched, {**(others or {}), **tables(fresh, store.key)}, base, notes)
+    gone: list[tuple[int, int]] = []
+
+    def fresh(touched: DataFrame) -> dict[str, DataFrame]:
+        gone.append(_sums(base.table("lengths").join(touched, store.key, "left_semi")))
+        own = None if counted is None else counted.join(touched, store.key, "left_semi")
+        return tables(chunks.join(touched, store.key, "left_semi"), store.key, own)
+
+    def notes(written) -> dict:
+        # Both sums are of the touched documents alone.
+        (out_n, out_tokens), (in_n, in_tokens) = gone[0], _sums(written("lengths"))
+        return {**base.notes, "n": base.notes["n"] - out_n + in_n, "tokens": base.notes["tokens"] - out_tokens + in_tokens}
+
+    return store.replace(ids, others or {}, base, notes, fresh)
 
 
 def compact(store: Store, base: Snapshot | None = None) -> Snapshot:

@@ -98,7 +98,8 @@ def posted(chunks: DataFrame, key: str = "doc_id") -> DataFrame:
             doc = np.repeat(np.arange(len(n)), n)
             pos = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
             code = words.indices.to_numpy().astype(np.int64)
-            order = np.argsort(doc * len(words.dictionary) + code, kind="stable")  # places stay in order
+            # A term's rows stand together, which the shuffle's files get smaller by; places stay in order.
+            order = np.argsort(code * len(n) + doc, kind="stable")
             doc, code, pos = doc[order], code[order], pa.array(pos[order].astype(np.int32))
             at = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (code[1:] != code[:-1])])
             places = pa.ListArray.from_arrays(pa.array(np.r_[at, len(doc)].astype(np.int32)), pos)

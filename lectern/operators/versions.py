@@ -54,12 +54,13 @@ class Snapshot:
         for i, layer in enumerate(self.layers):
             rows = spark.read.schema(schema).parquet(f"{s.path}/{layer}/{name}")
             parts.append((rows if where is None else rows.where(where)).select(*schema.names, F.lit(i).alias("_layer")))
-        rows = reduce(DataFrame.unionAll, parts)
-        if len(self.layers) == 1:
-            return rows.drop("_layer")
-        # The touched keys are few between compactions; where they are not, both sides are dealt by key.
-        rows = rows.join(self.hidden, s.key, "left")
-        return rows.where(F.col("_since").isNull() | (F.col("_layer") >= F.col("_since"))).drop("_layer", "_since")
+        *older, newest = parts
+        if not older:
+            return newest.drop("_layer")
+        # The touched keys are few between compactions; where they are not, both sides are dealt by key. No later layer hides the newest one's rows.
+        rows = reduce(DataFrame.unionAll, older).join(self.hidden, s.key, "left")
+        shown = rows.where(F.col("_since").isNull() | (F.col("_layer") >= F.col("_since")))
+        return shown.select(*schema.names).unionAll(newest.select(*schema.names))
 
 
 class Store:
@@ -149,11 +150,13 @@ class Store:
             self._drop(layer)
             raise
 
-    def replace(self, ids: DataFrame, tables: dict[str, DataFrame], base: Snapshot | None = None, notes: dict | None = None) -> Snapshot:
+    def replace(self, ids: DataFrame, tables: dict[str, DataFrame], base: Snapshot | None = None, notes: dict | Callable[[Callable[[str], DataFrame]], dict] | None = None, within: Callable[[DataFrame], dict[str, DataFrame]] | None = None) -> Snapshot:
         """The next version: documents of ``ids`` have the rows in ``tables`` alone, none where it has none; the others keep theirs.
 
-        Rows of documents outside ``ids`` are not taken. Raises ``Conflict``, and leaves nothing, if
-        ``base`` (the newest version, unless told) is no longer the newest.
+        Rows of documents outside ``ids`` are not taken. ``within`` makes further tables of the stored ids;
+        they hold rows of these alone, and are written as they are laid out. ``notes`` may read the tables that
+        were written. Raises ``Conflict``, and leaves nothing, if ``base`` (the newest version, unless told) is
+        no longer the newest.
         """
         base = base or self.snapshot()
         if unknown := set(tables) - set(base.schemas):
@@ -165,8 +168,10 @@ class Store:
             self._write(layer, {}, touched)
             own = self.spark.read.schema(touched.schema).parquet(f"{self.path}/{layer}/_touched")
             rows = {n: tables[n].select(*s.names).join(own, self.key, "left_semi") if n in tables else self.spark.createDataFrame([], s) for n, s in schemas.items()}
+            rows |= {n: t.select(*schemas[n].names) for n, t in (within(own) if within else {}).items()}
             self._write(layer, rows, None)
-            return self._commit(base.version + 1, [*base.layers, layer], base.schemas, base.notes if notes is None else notes)
+            told = notes(lambda n: self.spark.read.schema(schemas[n]).parquet(f"{self.path}/{layer}/{n}")) if callable(notes) else notes
+            return self._commit(base.version + 1, [*base.layers, layer], base.schemas, base.notes if told is None else told)
         except Exception:
             self._drop(layer)
             raise
