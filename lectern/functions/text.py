@@ -136,7 +136,9 @@ def breadcrumb(path: Column | str) -> Column:
 
 def sentences(c: Column | str) -> Column:
     """Sentences of each paragraph, without empty ones."""
-    strip = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    # Few have blanks at their ends, and looking at these is cheaper than looking for them.
+    outer = lambda x: F.concat(F.substring(x, 1, 1), F.substring(x, -1, 1))
+    strip = lambda x: F.when(F.rlike(outer(x), F.lit(r"(?U)\s")), F.regexp_replace(x, r"(?U)^\s+|\s+$", "")).otherwise(x)
     paragraphs = F.filter(F.transform(F.split(col(c), r"\n\n"), strip), lambda p: p != "")
     return F.filter(F.flatten(F.transform(paragraphs, lambda p: F.transform(F.split(p, r"(?<=[.!?:;])\s+"), strip))), lambda s: s != "")
 

@@ -18,9 +18,9 @@ def norm(a: Column | str) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def cosine_distance(a: Column | str, b: Column | str) -> Column:
-    """1 minus the cosine, within 0 and 2; 0 where a vector is zero."""
-    size = norm(a) * norm(b)
+def cosine_distance(a: Column | str, b: Column | str, size: Column | None = None) -> Column:
+    """1 minus the cosine, within 0 and 2; 0 where a vector is zero. ``size`` is the product of the norms, where it is known."""
+    size = norm(a) * norm(b) if size is None else size
     return F.when(size == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(2.0), 1 - dot(a, b) / size)))
 
 

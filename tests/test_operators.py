@@ -90,6 +90,18 @@ def test_semantic_chunks(spark):
     assert [b for d, *_, b in cut(kind="gradient", target=5, overlap=0) if d == 1] == ["Katze eins.", "Katze zwei.", "Hund eins.", "Hund zwei."]
 
 
+def test_semantic_chunks_cut_each_text_once(spark):
+    """Given its sentences, the plan reads no text again; without gaps in the vectors there is no second cut of whole documents."""
+    segments = spark.createDataFrame([(1, 0, "Katze eins. Katze zwei.\n\n\u2003Hund eins. Hund zwei.\u00a0", 1)], "doc_id long, ordinal int, text string, page int")
+    cut = chunking.written(chunking.sentences(segments), "sentences")
+    assert [r["sentence"] for r in cut.orderBy("pos").collect()] == ["Katze eins.", "Katze zwei.", "Hund eins.", "Hund zwei."]
+    vectors = cut.selectExpr("lookup", "CASE WHEN sentence LIKE 'Katze%' THEN array(1.0D, 0.0D) ELSE array(0.0D, 1.0D) END AS vector")
+    got = chunking.semantic(segments, vectors, cut=cut)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and "MapInPandas" not in plan
+    assert sorted((r["ordinal"], r["body"]) for r in got.collect()) == [(0, "Katze eins. Katze zwei."), (1, "Hund eins. Hund zwei.")]
+
+
 @pytest.mark.parametrize("kind,amount,want", [("percentile", 90, 8.4), ("standard_deviation", 1, round(13 / 3 + (((1 - 13 / 3) ** 2 + (2 - 13 / 3) ** 2 + (10 - 13 / 3) ** 2) / 3) ** 0.5, 5)), ("interquartile", 1, 19), ("gradient", 0, 4.5)])
 def test_thresholds(spark, kind, amount, want):
     rows = spark.createDataFrame([(1, i, float(d)) for i, d in enumerate((1, 2, 10))], "doc_id long, pos int, distance double")
