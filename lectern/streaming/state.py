@@ -2,7 +2,8 @@
 
 State is kept by key in RocksDB beside the query's checkpoint; timers in event time forget what no
 longer counts, or say that a retry is due. A micro-batch hands over the rows of a key, which are
-taken in order of time; a query that starts again goes on from its checkpoint.
+taken in order of time; a query that starts again goes on from its checkpoint. Keys have few rows each, so
+these come and go as rows, in batches over many keys: a table for each key costs more than its rows do.
 """
 
 from __future__ import annotations
@@ -10,8 +11,7 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -29,9 +29,9 @@ def use_rocks(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
 
 
-def _rows(arrived: Iterator[pd.DataFrame], *order: str) -> list:
-    whole = pd.concat(list(arrived))
-    return list(whole.sort_values(list(order), kind="stable").itertuples(index=False))
+def _rows(arrived: Iterator[Row], *order: str) -> list[Row]:
+    """The rows in order, nulls last."""
+    return sorted(arrived, key=lambda r: [(r[c] is None, r[c]) for c in order])
 
 
 class _Burst(StatefulProcessor):
@@ -45,23 +45,24 @@ class _Burst(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         recent = deque(t[0] for t in self.times.get())
-        out = []
+        held = bool(recent)
         for r in _rows(rows, "at", "event_id"):
             while recent and r.at - recent[0] >= WINDOW_S:
                 recent.popleft()
-            out.append((key[0], r.event_id, len(recent) < self.most))
-            if out[-1][2]:
+            allowed = len(recent) < self.most
+            if allowed:
                 recent.append(r.at)
+            yield Row(key=key[0], event_id=r.event_id, allowed=allowed)
         if recent:
             self.times.put([(t,) for t in recent])
-            for old in list(self.handle.listTimers()):
+            # A key without times has no timer.
+            for old in list(self.handle.listTimers()) if held else ():
                 self.handle.deleteTimer(old)
             self.handle.registerTimer(int((recent[-1] + WINDOW_S) * 1000))
-        yield pd.DataFrame(out, columns=["key", "event_id", "allowed"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         self.times.clear()  # the last allowed event is over a minute old
-        yield pd.DataFrame({"key": [], "event_id": [], "allowed": []})
+        return iter(())
 
     def close(self) -> None:
         pass
@@ -76,7 +77,7 @@ def burst(events: DataFrame, per_minute: int, key: str = "user_id", ts: str = "t
     use_rocks(events.sparkSession)
     of = {f.name: f.dataType.simpleString() for f in events.schema}
     rows = events.select(F.col(key).alias("key"), F.col(ts).alias("ts"), F.col(ts).cast("double").alias("at"), "event_id").withWatermark("ts", late)
-    got = rows.groupBy("key").transformWithStateInPandas(_Burst(per_minute), f"key {of[key]}, event_id {of['event_id']}, allowed boolean", "Append", "EventTime")
+    got = rows.groupBy("key").transformWithState(_Burst(per_minute), f"key {of[key]}, event_id {of['event_id']}, allowed boolean", "Append", "EventTime")
     return got.select(F.col("key").alias(key), "event_id", "allowed")
 
 
@@ -95,7 +96,7 @@ class _Retry(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         held = self.failures.get()
-        n, out, due = (held[0] if held else 0), [], None
+        n, due = (held[0] if held else 0), None
         for r in _rows(rows, "at", "event_id"):
             if not isinstance(r.error, str):
                 n, due, state = 0, None, "done"
@@ -103,21 +104,22 @@ class _Retry(StatefulProcessor):
                 n += 1
                 wait = min(max(self.base * 2 ** (n - 1), r.at_least or 0.0), MOST_S)
                 state, due = ("failed", None) if n >= self.attempts.get(key[1], 3) else ("queued", r.at + wait)
-            out.append((key[0], key[1], r.event_id, state, n, due))
+            yield Row(doc_id=key[0], stage=key[1], event_id=r.event_id, state=state, attempts=n, next_attempt_at=due)
             n = 0 if state == "failed" else n
-        self._forget()
+        # A job without failures has neither state nor timer.
+        if held:
+            self._forget()
         if n:
             self.failures.update((n,))
             if due is not None:
                 self.handle.registerTimer(int(due * 1000))
-        else:
+        elif held:
             self.failures.clear()
-        yield pd.DataFrame(out, columns=["doc_id", "stage", "event_id", "state", "attempts", "next_attempt_at"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         """The attempt is due: the job is handed out again."""
         n = self.failures.get()[0]
-        yield pd.DataFrame({"doc_id": [key[0]], "stage": [key[1]], "event_id": [None], "state": ["due"], "attempts": [n], "next_attempt_at": [expiredTimerInfo.getExpiryTimeInMs() / 1000]})
+        yield Row(doc_id=key[0], stage=key[1], event_id=None, state="due", attempts=n, next_attempt_at=expiredTimerInfo.getExpiryTimeInMs() / 1000)
 
     def close(self) -> None:
         pass
@@ -135,7 +137,7 @@ def retries(outcomes: DataFrame, base: float = BASE_S, late: str = "1 minute") -
     use_rocks(outcomes.sparkSession)
     of = {f.name: f.dataType.simpleString() for f in outcomes.schema}
     rows = outcomes.select("doc_id", "stage", "ts", F.col("ts").cast("double").alias("at"), "event_id", "error", "at_least").withWatermark("ts", late)
-    return rows.groupBy("doc_id", "stage").transformWithStateInPandas(_Retry(ATTEMPTS, base), _RETRY.format(doc=of["doc_id"], event=of["event_id"]), "Append", "EventTime")
+    return rows.groupBy("doc_id", "stage").transformWithState(_Retry(ATTEMPTS, base), _RETRY.format(doc=of["doc_id"], event=of["event_id"]), "Append", "EventTime")
 
 
 def retries_of(outcomes: DataFrame, base: float = BASE_S) -> DataFrame:

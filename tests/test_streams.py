@@ -62,3 +62,15 @@ def test_retries_over_a_restart_and_what_falls_due(spark, few, tmp_path):
     assert by_id[3] == ("queued", 1, base + 902) and by_id[5] == ("done", 0, None)
     due = {(r[0], r[5]) for r in every if r[3] == "due"}
     assert due == {(3, base + 902), (1, base + 330)}
+
+
+def test_keys_come_and_go_as_rows(spark, few):
+    """Not as a table for each key; events of one time are taken by their number, and null times come last."""
+    from pyspark.sql import Row
+
+    stream = spark.readStream.format("rate").load().selectExpr("timestamp AS ts", "value AS user_id", "value AS event_id", "value AS doc_id", "'fetch' AS stage", "'x' AS error", "1.0D AS at_least")
+    for made in (state.burst(stream, 3), state.retries(stream)):
+        plan = made._jdf.queryExecution().analyzed().toString()
+        assert "TransformWithStateInPySpark" in plan and "InPandas" not in plan and "handleInputRows" not in plan
+    rows = [Row(at=2.0, event_id=1), Row(at=None, event_id=0), Row(at=1.0, event_id=9), Row(at=2.0, event_id=0)]
+    assert [(r.at, r.event_id) for r in state._rows(iter(rows), "at", "event_id")] == [(1.0, 9), (2.0, 0), (2.0, 1), (None, 0)]
