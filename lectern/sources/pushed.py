@@ -16,11 +16,14 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from lectern.plans import shipping
+
 #: Documents in one request, and bytes of a range.
 MOST, RANGE = 500, 32 << 20
 FIELDS = ("doc_id", "course_id", "kind", "title", "text", "timemodified")
@@ -252,6 +255,19 @@ def outcomes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def blob_sizes(spark: SparkSession, path: str) -> DataFrame:
-    """(sha256, bytes) of the blobs that are there, but for the empty one, which Spark's readers do not list; contents are not read."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "[0-9a-f]*").load(f"{path}/[0-9a-f][0-9a-f]")
-    return found.select(F.element_at(F.split("path", "/"), -1).alias("sha256"), F.col("length").alias("bytes"))
+    """(sha256, bytes) of the blobs that are there, but for the empty one; contents are not read.
+
+    Tasks list the folders and keep what they find: a reader of files would send each one's status to the driver.
+    """
+    shipping.ship(spark)
+    options = {"path": path}
+
+    def run(arrived):
+        fs, root = _Blobs(options)._open()
+        for batch in arrived:
+            for n in batch.column("id").to_pylist():
+                found = fs.get_file_info(pafs.FileSelector(f"{root}/{n:02x}", allow_not_found=True))
+                found = [f for f in found if f.type == pafs.FileType.File and f.size]
+                yield pa.RecordBatch.from_arrays([pa.array([f.base_name for f in found], pa.string()), pa.array([f.size for f in found], pa.int64())], ["sha256", "bytes"])
+
+    return spark.range(0, 256, 1, 64).mapInArrow(run, "sha256 string, bytes long")

@@ -74,3 +74,14 @@ def test_a_task_that_fails_leaves_nothing_to_see(spark, tmp_path):
     with pytest.raises(Exception, match="broken"):
         bad.write.format("lectern_blobs").mode("append").save(f"file://{tmp_path}/blobs")
     assert not [p for p in (tmp_path / "blobs").rglob("*") if p.is_file() and "_staging" not in p.parts]
+
+
+def test_blobs_are_listed_by_tasks(spark, tmp_path):
+    """No reader of files, whose listing the driver holds; the empty blob is left out."""
+    root = f"file://{tmp_path}/blobs"
+    assert pushed.blob_sizes(spark, root).count() == 0
+    contents = [b"", *(b"%d" % i for i in range(20))]
+    pushed.put_blobs(spark.createDataFrame([(digest(c), c) for c in contents], "sha256 string, content binary"), root, 10)
+    got = pushed.blob_sizes(spark, root)
+    assert sorted(map(tuple, got.collect())) == sorted((digest(c), len(c)) for c in contents if c)
+    assert not got.inputFiles()
