@@ -2,10 +2,11 @@
 
 Of a labelled pair, the document of class 1 is preferred. The chance of that is the logistic
 function of the difference of the two scores, and scores are linear in features of the whole text,
-so fitting takes a logistic loss on feature differences (no intercept: only the order matters). The
-score's threshold is the quantile that cuts off as large a part of the sample, weighted by the
-classes' shares among all labels, as class 0 has; scores reach users through a logistic function
-that is ``CUT`` there.
+so fitting takes a logistic loss on feature differences (no intercept: only the order matters). All
+labelled documents that may be learnt from take part: tasks measure their whole texts, each document of
+the larger class is paired with several of the other in turn, and each of Newton's steps adds up what
+tasks tell of their pairs. The score's threshold is the quantile of all these documents that cuts off as
+large a part of them as class 0 has; scores reach users through a logistic function that is ``CUT`` there.
 """
 
 from __future__ import annotations
@@ -14,12 +15,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from lectern.llm.common import pick, ship
-from lectern.llm.labelled import BYTES, PER_CLASS, sample
+from lectern.llm.common import pick, ranked, ship, stored
 
 CUT = 0.3
+#: Pairs that are made at least, as far as there are as many, and of each document of the larger class.
+LEAST_PAIRED = 2
+#: Rank error of the middles: one part in so many; tables with fewer labels have exact ones.
+ACCURACY = 100_000
 PAIRS, RIDGE, STEPS = 30_000, 1e-3, 12
 #: Words that a Python worker remembers before it starts anew.
 REMEMBERED = 400_000
@@ -97,6 +103,20 @@ def expand(x: np.ndarray, middle: np.ndarray, scale: np.ndarray) -> np.ndarray:
     return np.concatenate([z, np.maximum(z - 1, 0), np.maximum(-z - 1, 0)], axis=1)
 
 
+def _sums(d: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Of pairs with differences ``d`` what a step adds up: a row for the slope of the loss, and one for each row of its curvature."""
+    p = 1 / (1 + np.exp(np.clip(d @ w, -500, 500)))
+    return np.vstack([d.T @ p, (d * (p * (1 - p))[:, None]).T @ d])
+
+
+def _stepped(w: np.ndarray, sums: np.ndarray, pairs: int) -> np.ndarray:
+    """Newton's method on the mean loss."""
+    grad = RIDGE * w - sums[0] / pairs
+    curve = sums[1:] / pairs + (RIDGE + 1e-6) * np.eye(len(w))
+    step = np.linalg.solve(curve, grad)
+    return w - step * min(1.0, 5.0 / max(1e-9, np.abs(step).max()))
+
+
 def fit(x: np.ndarray, y: np.ndarray, share: float, seed: int = 0) -> Model:
     """A model from features and classes; ``share`` is class 0's part of all labels. Constant if a class is missing."""
     width = x.shape[1]
@@ -111,12 +131,8 @@ def fit(x: np.ndarray, y: np.ndarray, share: float, seed: int = 0) -> Model:
     pairs = min(PAIRS, 20 * len(y))
     d = z[rng.choice(good, pairs)] - z[rng.choice(bad, pairs)]
     w = np.zeros(d.shape[1])
-    for _ in range(STEPS):  # Newton's method on the mean loss
-        p = 1 / (1 + np.exp(np.clip(d @ w, -500, 500)))
-        grad = RIDGE * w - d.T @ p / pairs
-        curve = (d * (p * (1 - p))[:, None]).T @ d / pairs + (RIDGE + 1e-6) * np.eye(len(w))
-        step = np.linalg.solve(curve, grad)
-        w -= step * min(1.0, 5.0 / max(1e-9, np.abs(step).max()))
+    for _ in range(STEPS):
+        w = _stepped(w, _sums(d, w), pairs)
     raw = z @ w
     order = np.argsort(raw, kind="stable")
     weight = np.where(y[order] == 0, share / len(bad), (1 - share) / len(good))
@@ -152,8 +168,86 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     return pick(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
 
 
-def trained(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", per_class: int = PER_CLASS, most_bytes: int = BYTES) -> Model:
-    """A model of ``label`` from a bounded sample of labelled documents for whose doc_id ``learn`` holds."""
-    got, prior = sample(docs, labels, label, learn, per_class, most_bytes)
-    x = measure(got["text"].to_pylist(), Memory()) if len(got) else np.zeros((0, len(FEATURES)))
-    return fit(x, np.array(got["y"].to_pylist(), int), prior.get(0, 0) / max(1, sum(prior.values())))
+def measured(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality") -> DataFrame:
+    """(doc_id, y, x: the features of the whole text) of all labelled documents for whose doc_id ``learn`` holds.
+
+    Labels other than 0 and 1, null ids and null texts are left out.
+    """
+    ship(docs.sparkSession)
+    known = pick(labels, "doc_id", label).select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & learn)
+    texts = pick(docs, "doc_id", "text").where("text IS NOT NULL").join(known, "doc_id").select("doc_id", "y", "text")
+
+    def run(arrived):
+        memory = Memory()
+        for b in arrived:
+            if len(memory) > REMEMBERED:
+                memory = Memory()
+            if b.num_rows:
+                x = measure(b.column("text").to_pylist(), memory)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
+
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    return texts.mapInArrow(run, f"doc_id {kind}, y int, x array<double>")
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.array(column.flatten()).reshape(len(column), -1)
+
+
+def _paired(rows: DataFrame, bad: int, good: int) -> tuple[DataFrame, int]:
+    """Pairs (g, b: features of a document of class 1 and of one of class 0), and their number; each document is in one at least."""
+    # Class 0 has the first places.
+    at = ranked(rows, "place", F.col("y"), F.xxhash64("doc_id"), F.col("doc_id"))
+    own = [at.where(f"y = {y}").select((F.col("place") - y * bad).alias("i"), F.col("x").alias("bg"[y])) for y in (0, 1)]
+    few, many = sorted((bad, good))
+    each = min(few, max(LEAST_PAIRED, -(-min(PAIRS, 20 * (bad + good)) // many)))
+    large, small = own if bad > good else own[::-1]
+    partners = F.transform(F.sequence(F.lit(0), F.lit(each - 1)), lambda j: (F.col("i") * each + j) % few)
+    return large.withColumn("k", F.explode(partners)).drop("i").join(small.withColumnRenamed("i", "k"), "k").select("g", "b"), many * each
+
+
+def trained(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality") -> Model:
+    """A model of ``label`` from all labelled documents for whose doc_id ``learn`` holds; constant if a class is missing.
+
+    To the driver come sums and single rows: some 10 KB of each task of a step.
+    """
+    rows = stored(measured(docs, labels, learn, label), "measured")
+    width = len(FEATURES)
+    number = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    bad, good = number.get(0, 0), number.get(1, 0)
+    if not bad or not good:
+        return Model(np.zeros(width), np.ones(width), np.zeros(3 * width), 0.0 if bad else -10.0)
+    of = [F.col("x")[i] for i in range(width)]
+    told = rows.where("y = 1").agg(*(F.percentile_approx(c, 0.5, ACCURACY) for c in of), *(F.stddev_pop(c) for c in of)).first()
+    middle, scale = np.array(told[:width], float), np.maximum(np.array(told[width:], float), 1e-3)
+    pairs, n = _paired(rows, bad, good)
+    pairs = stored(pairs, "pairs")
+
+    def sums(w: np.ndarray) -> np.ndarray:
+        def run(arrived):
+            total = np.zeros((len(w) + 1, len(w)))
+            for b in arrived:
+                if b.num_rows:
+                    total += _sums(expand(_matrix(b.column("g")), middle, scale) - expand(_matrix(b.column("b")), middle, scale), w)
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "sums"])
+
+        parts = sorted(pairs.mapInArrow(run, "part int, sums binary").collect())
+        return sum(np.frombuffer(r["sums"]).reshape(len(w) + 1, len(w)) for r in parts)
+
+    w = np.zeros(3 * width)
+    for _ in range(STEPS):
+        w = _stepped(w, sums(w), n)
+    model = Model(middle, scale, w)
+
+    def run(arrived):
+        for b in arrived:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(model.raw(_matrix(b.column("x"))))], ["y", "raw"])
+
+    raw = ranked(rows.mapInArrow(run, "y int, raw double"), "place", F.col("raw"), F.col("y"))
+    # Between the two middles of what lies on either side of the quantile, not on a document.
+    k = min(bad - 1, bad + good - 2)
+    low, high = sorted(r["raw"] for r in raw.where(F.col("place").isin(k, k + 1)).select("raw").collect())
+    of_class = raw.groupBy("y").agg(F.percentile_approx("raw", 0.5, ACCURACY).alias("m")).collect()
+    spread = sum(r["m"] * (1 if r["y"] else -1) for r in of_class)
+    return Model(middle, scale, w, float((low + high) / 2), float(max(spread / 12, 1e-6)))

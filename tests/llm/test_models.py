@@ -493,3 +493,27 @@ def library_ids():
 
     t = Tokenizer.from_file(vocabulary())
     return lambda x: t.encode(x, add_special_tokens=False).ids
+
+
+def test_quality_learns_from_every_label(spark):
+    """More labels of a class than the sample held, and a text longer than its passages: all are measured whole, and all are in a pair."""
+    from pyspark.sql import functions as F
+
+    docs = spark.range(7000).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 5, F.repeat(F.lit("wörd "), 50_000)).when(F.col("id") % 70 == 0, F.concat(F.lit("##!! $$"), F.col("id"))).otherwise(F.concat(F.lit("A fair sentence of words, number "), F.col("id"), F.lit("."))).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 70 != 0).cast("int").alias("quality"))
+    rows = quality.measured(docs, labels, F.col("doc_id") % 7 != 1).cache()
+    assert rows.count() == 6000 and abs(rows.where("doc_id = 5").first()["x"][0] - np.log1p(50_000)) < 1e-9
+    pairs, n = quality._paired(rows, 100, 5900)
+    assert pairs.count() == n and pairs.select("g").distinct().count() == rows.where("y = 1").select("x").distinct().count() and pairs.select("b").distinct().count() == rows.where("y = 0").select("x").distinct().count()
+    model = quality.trained(docs, labels, F.col("doc_id") % 7 != 1)
+    got = quality.scored(docs, model).join(labels, "doc_id").where("doc_id <> 5").agg(F.avg(((F.col("score") >= quality.CUT).cast("int") == F.col("quality")).cast("int"))).first()[0]
+    assert got > 0.99
+
+
+def test_quality_of_one_class_is_constant(spark, empty):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(1, "a b"), (2, "c d")], "doc_id long, text string")
+    for y, low in ((0, True), (1, False)):
+        model = quality.trained(docs, docs.select("doc_id", F.lit(y).alias("quality")), F.lit(True))
+        assert all((r.score <= quality.CUT + 1e-9) == low for r in quality.scored(docs, model).collect())
