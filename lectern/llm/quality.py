@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from lectern.llm.common import pick, ranked, ship, stored
 
 CUT = 0.3
-#: Pairs that are made at least, as far as there are as many, and of each document of the larger class.
+#: Pairs of each document of the larger class at least; more where that would make fewer than PAIRS.
 LEAST_PAIRED = 2
 #: Rank error of the middles: one part in so many; tables with fewer labels have exact ones.
 ACCURACY = 100_000
