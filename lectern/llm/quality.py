@@ -3,7 +3,7 @@
 Of a labelled pair, the document of class 1 is preferred. The chance of that is the logistic
 function of the difference of the two scores, and scores are linear in features of the whole text,
 so fitting takes a logistic loss on feature differences (no intercept: only the order matters). All
-labelled documents that may be learnt from take part: tasks measure their whole texts, each document of
+labelled documents that may be learnt from take part: tasks measure whole texts where they are read and pass on their features alone, each document of
 the larger class is paired with several of the other in turn, and each of Newton's steps adds up what
 tasks tell of their pairs. The score's threshold is the quantile of all these documents that cuts off as
 large a part of them as class 0 has; scores reach users through a logistic function that is ``CUT`` there.
@@ -144,15 +144,9 @@ def fit(x: np.ndarray, y: np.ndarray, share: float, seed: int = 0) -> Model:
     return Model(middle, scale, w, float((low + high) / 2), float(max(spread / 12, 1e-6)))
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """One row per row of ``docs``: doc_id, score (0 to 1).
-
-    Null and empty texts have all features 0 and a score by them; repeated rows are scored each; a
-    null doc_id stays null; an empty table gives no rows; other columns are not read.
-    """
-    spark = docs.sparkSession
-    ship(spark)
-    sent = spark.sparkContext.broadcast(model)  # some dozens of numbers
+def featured(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs``: doc_id, given (whether there is a text) and x, the features of the whole text."""
+    ship(docs.sparkSession)
 
     def run(arrived):
         memory = Memory()
@@ -161,11 +155,38 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             for first in range(0, len(text), 1000):
                 if len(memory) > REMEMBERED:
                     memory = Memory()
-                out.append(sent.value.score(measure(text[first : first + 1000], memory)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.concatenate(out) if out else np.zeros(0))], ["doc_id", "score"])
+                out.extend(measure(text[first : first + 1000], memory))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text").is_valid(), pa.array(out, pa.list_(pa.float64()))], ["doc_id", "given", "x"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return pick(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    return pick(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, given boolean, x array<double>")
+
+
+def _scores(rows: DataFrame, model: Model) -> DataFrame:
+    """doc_id and score of ``featured`` rows."""
+    sent = rows.sparkSession.sparkContext.broadcast(model)  # some dozens of numbers
+
+    def run(arrived):
+        for b in arrived:
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sent.value.score(_matrix(b.column("x"))) if b.num_rows else np.zeros(0))], ["doc_id", "score"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, score double")
+
+
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """One row per row of ``docs``: doc_id, score (0 to 1).
+
+    Null and empty texts have all features 0 and a score by them; repeated rows are scored each; a
+    null doc_id stays null; an empty table gives no rows; other columns are not read.
+    """
+    return _scores(featured(docs), model)
+
+
+def scored_by_labels(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality") -> DataFrame:
+    """``scored`` by the model ``trained`` on the same ``docs``: texts are read and measured once, their features stored, and no text is shuffled."""
+    rows = stored(featured(docs), "features")
+    return _scores(rows, _fitted(rows, labels, learn, label))
 
 
 def measured(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality") -> DataFrame:
@@ -173,21 +194,13 @@ def measured(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "qu
 
     Labels other than 0 and 1, null ids and null texts are left out.
     """
-    ship(docs.sparkSession)
-    known = pick(labels, "doc_id", label).select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & learn)
-    texts = pick(docs, "doc_id", "text").where("text IS NOT NULL").join(known, "doc_id").select("doc_id", "y", "text")
+    return _labelled(featured(docs), labels, learn, label)
 
-    def run(arrived):
-        memory = Memory()
-        for b in arrived:
-            if len(memory) > REMEMBERED:
-                memory = Memory()
-            if b.num_rows:
-                x = measure(b.column("text").to_pylist(), memory)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
-    kind = texts.schema["doc_id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"doc_id {kind}, y int, x array<double>")
+def _labelled(rows: DataFrame, labels: DataFrame, learn: Column, label: str) -> DataFrame:
+    """``measured``, from ``featured`` rows."""
+    known = pick(labels, "doc_id", label).select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & learn)
+    return rows.where("given").join(known, "doc_id").select("doc_id", "y", "x")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -207,11 +220,13 @@ def _paired(rows: DataFrame, bad: int, good: int) -> tuple[DataFrame, int]:
 
 
 def trained(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality") -> Model:
-    """A model of ``label`` from all labelled documents for whose doc_id ``learn`` holds; constant if a class is missing.
+    """A model of ``label`` from all labelled documents for whose doc_id ``learn`` holds; constant if a class is missing."""
+    return _fitted(featured(docs), labels, learn, label)
 
-    To the driver come sums and single rows: some 10 KB of each task of a step.
-    """
-    rows = stored(measured(docs, labels, learn, label), "measured")
+
+def _fitted(features: DataFrame, labels: DataFrame, learn: Column, label: str) -> Model:
+    """The model of ``trained`` from ``featured`` rows. To the driver come sums and single rows: some 10 KB of each task of a step."""
+    rows = stored(_labelled(features, labels, learn, label), "measured")
     width = len(FEATURES)
     number = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     bad, good = number.get(0, 0), number.get(1, 0)

@@ -517,3 +517,19 @@ def test_quality_of_one_class_is_constant(spark, empty):
     for y, low in ((0, True), (1, False)):
         model = quality.trained(docs, docs.select("doc_id", F.lit(y).alias("quality")), F.lit(True))
         assert all((r.score <= quality.CUT + 1e-9) == low for r in quality.scored(docs, model).collect())
+
+
+def test_quality_shuffles_features_not_texts(spark):
+    """Texts are measured before they meet labels, once, and scores are those of the model from the same labels."""
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 9 == 0, None).when(F.col("id") % 4 == 0, "bad%%% &&& $$$ " * 5).otherwise(F.concat(F.lit("Good words stand here, "), "id")).alias("text"))
+    labels, learn = docs.select("doc_id", (F.col("doc_id") % 4 != 0).cast("int").alias("quality")), F.col("doc_id") % 5 != 0
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = quality.measured(docs, labels, learn)._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert plan.index("SortMergeJoin") < plan.index("MapInArrow")
+    got = {r.doc_id: r.score for r in quality.scored_by_labels(docs, labels, learn).collect()}
+    want = {r.doc_id: r.score for r in quality.scored(docs, quality.trained(docs, labels, learn)).collect()}
+    assert len(got) == 400 and all(abs(got[k] - want[k]) < 1e-9 for k in want)
