@@ -4,7 +4,7 @@
 take ranges of bytes, a stream's offsets are the bytes read of each file, and a request that breaks a
 rule comes as a row that says so, so nothing is decided on the driver. ``lectern_blobs`` writes files
 named by their content: a task stages what it gets, checks digest and size, and shows it when all of
-it is there.
+it is there. What became of each blob is said when the job ends, by one attempt of each task.
 """
 
 from __future__ import annotations
@@ -13,11 +13,13 @@ import hashlib
 import io
 import json
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -168,6 +170,7 @@ class _Written(WriterCommitMessage):
     stored: int
     present: int
     refused: int
+    outcomes: str | None = None
 
 
 def blob_path(root: str, sha256: str) -> str:
@@ -186,8 +189,10 @@ class _Blobs(DataSourceWriter):
     def write(self, iterator) -> _Written:
         """Stages each new blob and says what became of it; shown are they when the task has read all its rows."""
         fs, root = self._open()
-        own = f"{root}/_staging/{self.job}/{uuid.uuid4().hex}"
-        staged, said = [], []
+        task, name = TaskContext.get(), uuid.uuid4().hex
+        part = f"{root}/_staging/{self.job}/{task.partitionId() if task else 0}"
+        own, said, outcomes = f"{part}/{name}", [], None
+        staged = []
         fs.create_dir(own)
         for row in iterator:
             sha, content = row["sha256"], bytes(row["content"] or b"")
@@ -202,15 +207,25 @@ class _Blobs(DataSourceWriter):
                     out.write(content)
                 staged.append(sha)
                 said.append((sha, "stored"))
+        # Told before any is shown: to another attempt of this task they are what the job stored, not what was there.
+        with fs.open_output_stream(f"{part}/{name}.shown") as out:
+            out.write("".join(s + "\n" for s in staged).encode())
         for sha in staged:
             fs.create_dir(f"{root}/{sha[:2]}")
             fs.move(f"{own}/{sha}", blob_path(root, sha))
+        earlier = set()
+        for f in fs.get_file_info(pafs.FileSelector(part)):
+            if f.base_name.endswith(".shown") and f.base_name != f"{name}.shown":
+                with fs.open_input_stream(f.path) as shown:
+                    earlier.update(shown.read().decode().split())
+        said = [(s, "stored" if o == "present" and s in earlier else o) for s, o in said]
         if said:
-            fs.create_dir(f"{root}/_outcomes/{self.job}")
-            with fs.open_output_stream(f"{root}/_outcomes/{self.job}/{uuid.uuid4().hex}.json") as out:
+            outcomes = f"{part}/{name}.json"
+            with fs.open_output_stream(outcomes) as out:
                 out.write("".join(json.dumps({"sha256": s, "outcome": o}) + "\n" for s, o in said).encode())
         fs.delete_dir(own)
-        return _Written(len(staged), sum(o == "present" for _, o in said), sum(o in ("too large", "digest differs") for _, o in said))
+        said = Counter(o for _, o in said)
+        return _Written(said["stored"], said["present"], said["too large"] + said["digest differs"], outcomes)
 
     def _clear(self) -> None:
         fs, root = self._open()
@@ -218,6 +233,10 @@ class _Blobs(DataSourceWriter):
             fs.delete_dir(f"{root}/_staging/{self.job}")
 
     def commit(self, messages) -> None:
+        fs, root = self._open()
+        fs.create_dir(f"{root}/_outcomes/{self.job}")
+        for said in (m.outcomes for m in messages if m and m.outcomes):
+            fs.move(said, f"{root}/_outcomes/{self.job}/{said.rsplit('/', 1)[-1]}")
         self._clear()
 
     def abort(self, messages) -> None:
@@ -244,9 +263,10 @@ def register(spark: SparkSession) -> None:
 
 
 def put_blobs(blobs: DataFrame, path: str, most_bytes: int = MOST_BYTES) -> None:
-    """Stores blobs (sha256, content) that are not there yet; each digest is written by one task."""
+    """Stores blobs (sha256, content) that are not there yet; each digest is written by one task, and other contents under it are refused."""
     register(blobs.sparkSession)
-    blobs.select("sha256", "content").dropDuplicates(["sha256"]).write.format("lectern_blobs").option("mostBytes", most_bytes).mode("append").save(path)
+    blobs = blobs.select("sha256", F.coalesce("content", F.lit(b"")).alias("content")).withColumn("own", F.sha2("content", 256))
+    blobs.dropDuplicates(["sha256", "own"]).drop("own").write.format("lectern_blobs").option("mostBytes", most_bytes).mode("append").save(path)
 
 
 def outcomes(spark: SparkSession, path: str) -> DataFrame:
@@ -254,8 +274,8 @@ def outcomes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("sha256 string, outcome string").option("recursiveFileLookup", "true").json(f"{path}/_outcomes")
 
 
-def blob_sizes(spark: SparkSession, path: str) -> DataFrame:
-    """(sha256, bytes) of the blobs that are there, but for the empty one; contents are not read.
+def blob_sizes(spark: SparkSession, path: str, empty: bool = False) -> DataFrame:
+    """(sha256, bytes) of the blobs that are there, the empty one if ``empty``; contents are not read.
 
     Tasks list the folders and keep what they find: a reader of files would send each one's status to the driver.
     """
@@ -267,7 +287,7 @@ def blob_sizes(spark: SparkSession, path: str) -> DataFrame:
         for batch in arrived:
             for n in batch.column("id").to_pylist():
                 found = fs.get_file_info(pafs.FileSelector(f"{root}/{n:02x}", allow_not_found=True))
-                found = [f for f in found if f.type == pafs.FileType.File and f.size]
+                found = [f for f in found if f.type == pafs.FileType.File and (f.size or empty)]
                 yield pa.RecordBatch.from_arrays([pa.array([f.base_name for f in found], pa.string()), pa.array([f.size for f in found], pa.int64())], ["sha256", "bytes"])
 
     return spark.range(0, 256, 1, 64).mapInArrow(run, "sha256 string, bytes long")

@@ -85,3 +85,51 @@ def test_blobs_are_listed_by_tasks(spark, tmp_path):
     got = pushed.blob_sizes(spark, root)
     assert sorted(map(tuple, got.collect())) == sorted((digest(c), len(c)) for c in contents if c)
     assert not got.inputFiles()
+
+
+def test_a_task_that_is_tried_again_says_what_the_job_stored(spark, tmp_path, monkeypatch):
+    """The first attempt ends while it shows blobs, or when it is through; only what the committed one says counts."""
+    root = f"file://{tmp_path}/blobs"
+    rows = [{"sha256": digest(c), "content": c} for c in (b"a", b"b", b"c", b"d")]
+    pushed.put_blobs(spark.createDataFrame([(digest(b"d"), b"d")], "sha256 string, content binary"), root)
+    writer = pushed._Blobs({"path": root})
+    made = []
+
+    class Ends(pushed.pafs.SubTreeFileSystem):
+        def move(self, src, dest):
+            if made:
+                raise OSError("the executor is lost")
+            made.append(dest)
+            super().move(src, dest)
+
+    monkeypatch.setattr(writer, "_open", lambda: (Ends("/", pushed.pafs.LocalFileSystem()), f"{tmp_path}/blobs"))
+    with pytest.raises(OSError, match="lost"):
+        writer.write(iter(rows))
+    monkeypatch.undo()
+    assert len(made) == 1
+    writer.write(iter(rows))
+    writer.commit([writer.write(iter(rows))])
+    said = sorted((r["sha256"], r["outcome"]) for r in pushed.outcomes(spark, root).collect())
+    assert said == sorted([*((digest(c), "stored") for c in (b"a", b"b", b"c", b"d")), (digest(b"d"), "present")])
+    assert not list((tmp_path / "blobs" / "_staging").glob("*"))
+
+
+def test_other_contents_under_a_digest_do_not_keep_its_blob_out(spark, tmp_path):
+    for i, contents in enumerate(((b"a", b"z"), (b"z", b"a"))):
+        pushed.put_blobs(spark.createDataFrame([(digest(b"a"), c) for c in contents], "sha256 string, content binary").coalesce(1), root := f"file://{tmp_path}/{i}")
+        assert sorted(r["outcome"] for r in pushed.outcomes(spark, root).collect()) == ["digest differs", "stored"]
+
+
+def test_blobs_stored_of_odd_texts_as_its_sql(spark, tmp_path):
+    """Empty and null texts, and one that is another's with the letter that makes its digest wrong."""
+    import duckdb
+
+    from __spark_entry__ import oracle_sql, queries
+
+    rows = [(11, "abc"), (1, "xabc"), (2, ""), (22, ""), (3, None), (33, None), (4, "ä" * 2500), (5, "ä" * 2501), (6, "abc"), (7, "abc")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in queries()["blobs_stored"](spark, str(tmp_path)).collect()]
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = db.execute(oracle_sql()["blobs_stored"]).fetchall()
+    assert sorted(got, key=str) == sorted(want, key=str)
